@@ -10,6 +10,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of episodes whose path and anchor look the same though stored differently."""
+    from corpusloom.llm import lookalikes
+
+    episodes = _table(spark, sf_dir, "episodes").select("entry_no", "source_path", "source_anchor")
+    pairs = lookalikes.same_looking_pairs(episodes, "entry_no", ["source_path", "source_anchor"])
+    return pairs.select(F.col("a").alias("entry_a"), F.col("b").alias("entry_b"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     from corpusloom.llm import bpe
@@ -17,5 +26,5 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", bpe.default_ranks())
 
 
-QUERIES = {"p6_ids": p6_ids}
+QUERIES = {"p5_found": p5_found, "p6_ids": p6_ids}
 SQL: dict[str, str] = {}
