@@ -10,6 +10,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary slug meant by each typed value of terms and episodes."""
+    from corpusloom.llm import canonical
+
+    return canonical.found(*(_table(spark, sf_dir, t) for t in ("terms", "episodes", "vocabulary")))
+
+
+def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed values without an entry, with the number of rows that hold them."""
+    none = p1_found(spark, sf_dir).where("slug = 'none'")
+    return none.groupBy("field", "raw").agg(F.count("*").alias("n_rows"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of episodes whose path and anchor look the same though stored differently."""
     from corpusloom.llm import lookalikes
@@ -26,5 +39,5 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", bpe.default_ranks())
 
 
-QUERIES = {"p5_found": p5_found, "p6_ids": p6_ids}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p6_ids": p6_ids}
 SQL: dict[str, str] = {}
