@@ -74,34 +74,32 @@ class Trie:
             stack += [(step, x, path + x, row, above, c) for x, step in self.next[node].items()]
         return found
 
-    def scan(self, text: str, bound_of, start_ok=None) -> list[tuple[int, int, Hashable, int]]:
-        """(start, end, value, distance) of entries met inside `text`, at every start, within bound_of(entry length).
+    def scan(self, text: str, bound_of) -> list[tuple[int, int, Hashable, int]]:
+        """(start, end, value, edits) of every entry met inside `text` within bound_of(entry length) edits, 0 or 1.
 
-        The automaton walks the trie along the text; the first character must match, which keeps starts few.
+        From every start the automaton's states (trie node, place in the text, edits) walk the trie along the text.
         """
         out = []
-        root = self.next[0]
-        for at, c in enumerate(text):
-            if c not in root or (start_ok is not None and not start_ok(text, at)):
-                continue
-            # states: (node, position in text, edits so far); depth first with a set against repeats
-            stack, seen = [(root[c], at + 1, 0, 1)], set()
+        for at in range(len(text)):
+            stack, seen = [(0, at, 0, 0)], set()
             while stack:
                 node, pos, edits, depth = stack.pop()
-                if (node, pos) in seen and edits > 0:
+                if (node, pos, edits) in seen:
                     continue
-                seen.add((node, pos))
-                for v in self.values[node]:
-                    if edits <= bound_of(depth):
-                        out.append((at, pos, v, edits))
+                seen.add((node, pos, edits))
+                if self.values[node] and edits <= bound_of(depth):
+                    out += [(at, pos, v, edits) for v in self.values[node]]
                 here = text[pos] if pos < len(text) else None
-                for x, step in self.next[node].items():
-                    if x == here:
-                        stack.append((step, pos + 1, edits, depth + 1))
-                    if edits < 1:
-                        stack.append((step, pos, edits + 1, depth + 1))  # left out
-                        if here is not None and x != here:
-                            stack.append((step, pos + 1, edits + 1, depth + 1))  # changed
-                if edits < 1 and here is not None:
-                    stack.append((node, pos + 1, edits + 1, depth))  # put in
+                step = self.next[node].get(here) if here is not None else None
+                if step is not None:
+                    stack.append((step, pos + 1, edits, depth + 1))
+                if edits == 0 and (node or depth == 0):
+                    for x, other in self.next[node].items():
+                        if x != here:
+                            if node or here is not None:
+                                stack.append((other, pos, 1, depth + 1))  # left out
+                            if here is not None:
+                                stack.append((other, pos + 1, 1, depth + 1))  # changed
+                    if here is not None and node:
+                        stack.append((node, pos + 1, 1, depth))  # put in
         return out

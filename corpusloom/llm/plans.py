@@ -39,5 +39,26 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", bpe.default_ranks())
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p6_ids": p6_ids}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose own text is abusive, hateful or sexual."""
+    from corpusloom.llm import abuse
+
+    return abuse.scored(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text").where("toxic").select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of every document."""
+    from corpusloom.llm import abuse
+
+    return abuse.scored(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text").drop("text")
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of cases in every source."""
+    from corpusloom.llm import abuse
+
+    return abuse.rates(_table(spark, sf_dir, "documents"), "source", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p6_ids": p6_ids, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 SQL: dict[str, str] = {}
