@@ -63,7 +63,7 @@ CUES = [
 #: Settings that take an insulting word's sting: names of things, games, jokes on oneself, notices.
 HARMLESS = [
     "クズ糸", "カステラ", "ヘボ将棋", "ゴミの日", "ゴミ拾い", "ゴミ箱", "寄生虫学", "アホウドリ", "招き猫", "という名の", "バカ笑い", "馬鹿正直", "毒舌", "死ぬほど", "旧題は", "殺風景", "殺陣", "と念じると",
-    "parasite chapter", "leech jar", "killer line", "naked bulb", "hate to see", "規約に反する", "管理人が削除", "という言葉", "と書き込", "は禁止", "愛撫するように",
+    "parasite chapter of", "leech jar", "killer line", "naked bulb", "hate to see", "規約に反する", "管理人が削除", "という言葉", "と書き込", "は禁止", "愛撫するように",
 ]
 INSULT, CUE, HARM = 0.5, 0.5, -1.0
 #: A term inside quotation marks that is followed by a word of mention counts so much.

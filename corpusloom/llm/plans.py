@@ -23,6 +23,13 @@ def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return none.groupBy("field", "raw").agg(F.count("*").alias("n_rows"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of author slugs that stand for the same person."""
+    from corpusloom.llm import names
+
+    return names.pairs(_table(spark, sf_dir, "authors"), _table(spark, sf_dir, "works").select("author_slug", "credit"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of episodes whose path and anchor look the same though stored differently."""
     from corpusloom.llm import lookalikes
@@ -60,5 +67,5 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(_table(spark, sf_dir, "documents"), "source", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p6_ids": p6_ids, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 SQL: dict[str, str] = {}
