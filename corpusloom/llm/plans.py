@@ -46,6 +46,30 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", bpe.default_ranks())
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in containers of each binder's capacity in tokens."""
+    from functools import reduce
+
+    from corpusloom.llm import bpe, packing
+    from corpusloom.operators.bounded import checkpointed
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    sizes = checkpointed(bpe.counted(docs, "doc_id", "text", bpe.default_ranks()))
+    binders = _table(spark, sf_dir, "binders").select("binder", "capacity_tokens").distinct().orderBy("binder").collect()  # three rows, fixed
+    parts = [packing.packed(sizes, "doc_id", "n_tokens", c).select(F.lit(b).alias("binder"), F.lit(c).alias("capacity_tokens"), "*") for b, c in binders]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p7_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per binder: containers, pieces, tokens and the share of space left in percent."""
+    d = p7_containers(spark, sf_dir)
+    return (
+        d.groupBy("binder", "capacity_tokens")
+        .agg(F.count_distinct("container").alias("containers"), F.count("*").alias("pieces"), F.sum("n").alias("tokens"))
+        .withColumn("space_left_pct", F.round(100.0 * (1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))), 3))
+    )
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose own text is abusive, hateful or sexual."""
     from corpusloom.llm import abuse
@@ -67,5 +91,5 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(_table(spark, sf_dir, "documents"), "source", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_space": p7_space, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 SQL: dict[str, str] = {}
