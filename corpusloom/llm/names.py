@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.canonical import hiragana, romaji
 from corpusloom.operators.bounded import checkpointed
+from corpusloom.operators.graph import components
 
 # Names that stand for nobody, what is put around names, old and variant forms of ideographs.
 NOBODY = ["名無し", "名無しさん", "名無しさん@", "匿名希望", "匿名", "ゲスト", "通りすがり", "編集部", "管理人", "不明", "作者不詳", "読者", "anonymous", "guest", "unknown", "nobody", "admin", "no name", "noname", "nanashi"]
@@ -410,22 +411,6 @@ def _among_themselves(rest: DataFrame, typed: DataFrame) -> DataFrame:
     return labels.where("node like 's:%'").select(F.substring("node", 3, 1_000_000).alias("slug"), F.concat(F.lit("?"), "label").alias("person"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, label): connected components of edges (x, y) by the smallest node, two hops a round, until nothing changes."""
-    both = edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
-    both = checkpointed(both)
-    labels = checkpointed(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).select(F.col("x").alias("node"), "label"))
-    for _ in range(rounds):
-        seen = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("label").alias("_m"))
-        step = labels.join(seen, F.col("node") == F.col("x")).select("node", F.least("label", "_m").alias("new"), F.col("label").alias("old"))
-        jump = step.alias("s").join(labels.alias("l"), F.col("s.new") == F.col("l.node"), "left").select("s.node", F.least("s.new", F.coalesce("l.label", "s.new")).alias("label"), "s.old")
-        jump = checkpointed(jump)
-        labels = jump.select("node", "label")
-        if jump.where("label <> old").isEmpty():
-            break
-    return labels
-
-
 def pairs(authors: DataFrame, works: DataFrame) -> DataFrame:
     """(slug_a, slug_b): each two different slugs of one person, slug_a < slug_b in code point order."""
     who = links(authors, works).where(~F.lower("slug").rlike("^(guest|anonymous|nanashi|unknown)"))
