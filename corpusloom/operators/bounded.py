@@ -36,3 +36,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="corpusloom-checkpoint-")
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A freshly scanned `df` over at least as many partitions as the session runs tasks at once, for work in Python.
+
+    Only a scan of fewer splits than cores is dealt out anew; larger inputs keep their splits and move nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
