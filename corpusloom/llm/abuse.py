@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.automata import Trie
+from corpusloom.operators.bounded import spread
 
 THRESHOLD = 1.0
 
@@ -180,7 +181,7 @@ def scored(df: DataFrame, text: str) -> DataFrame:
         lex = lexicon()
         return pd.DataFrame([lex.document(t) for t in texts], columns=["abuse", "hate", "sexual"])
 
-    d = df.withColumn("_s", run(F.col(f"`{text}`")))
+    d = spread(df).withColumn("_s", run(F.col(f"`{text}`")))
     d = d.withColumns({f"{c}_score": F.col(f"_s.{c}") for c in ("abuse", "hate", "sexual")}).drop("_s")
     return d.withColumn("toxic", F.greatest("abuse_score", "hate_score", "sexual_score") >= THRESHOLD)
 

@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.bounded import spread
+
 #: Fixed value: the pattern that cuts text into pieces before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NO_RANK = np.int32(2**31 - 1)
@@ -209,7 +211,7 @@ def encoded(df: DataFrame, key: str, text: str, ranks: str, batch_chars: int = 2
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField("key", key_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return spread(df.select(F.col(f"`{key}`"), F.col(f"`{text}`"))).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def counted(df: DataFrame, key: str, text: str, ranks: str) -> DataFrame:
