@@ -96,64 +96,78 @@ def sentences(text: str) -> list[str]:
 
 def bound(n: int) -> int:
     """Edits allowed for a term of n folded letters."""
-    return 0 if n < 5 else 1
+    return 0 if n < 6 else 1
+
+
+def bound_masked(n: int) -> int:
+    """The same for a sentence with masked letters, which only short terms need."""
+    return 0 if n < 3 else 1
 
 
 class Lexicon:
-    """The lexicon's trie and a filter for it: a term within one edit holds one of its halves unchanged."""
+    """The lexicon's trie and a filter for it: a term within one edit holds one of its halves unchanged, so the automaton
+    needs to start only where a half says a term may begin. Cues and harmless settings count as they are written."""
 
     def __init__(self) -> None:
         self.trie = Trie()
         self.filter = ahocorasick.Automaton()
+        self.context = ahocorasick.Automaton()
         self.memory: dict[str, tuple[float, float, float]] = {}
-        lists = [*((c, 1.0, terms) for c, terms in STRONG.items()), ("abuse", INSULT, INSULTS), ("cue", CUE, CUES), ("harmless", HARM, HARMLESS)]
-        lists.append(("abuse", 1.0, [x for c in COMMANDS for x in (f"さっさと{c}", f"{c}この")] + [f"{c} you" for c in COMMANDS_EN]))
         self.commands = {folded(c) for c in COMMANDS + COMMANDS_EN}
-        for c in self.commands:
-            self.filter.add_word(c, 1)
-        for kind, weight, terms in lists:
+        urged = [x for c in COMMANDS for x in (f"さっさと{c}", f"{c}この")] + [f"{c} you" for c in COMMANDS_EN]
+        halves: dict[str, set[int]] = {c: {0} for c in self.commands}
+        for kind, weight, terms in [*((c, 1.0, terms) for c, terms in STRONG.items()), ("abuse", INSULT, INSULTS), ("abuse", 1.0, urged)]:
             for term in terms:
                 f = folded(term)
                 self.trie.add(f, (kind, weight, f))
-                halves = [f] if bound(len(f)) == 0 else [f[: len(f) // 2], f[len(f) // 2 :]]
-                if kind not in ("cue", "harmless"):  # these alone score nothing
-                    for h in halves:
-                        self.filter.add_word(h, 1)
+                cut = len(f) // 2 if bound(len(f)) else 0
+                for offset, half in ((0, f),) if not cut else ((0, f[:cut]), (cut, f[cut:])):
+                    halves.setdefault(half, set()).add(offset)
+        for half, offsets in halves.items():
+            self.filter.add_word(half, (len(half), tuple(offsets)))
+        for kind, weight, terms in (("cue", CUE, CUES), ("harmless", HARM, HARMLESS)):
+            for term in terms:
+                self.context.add_word(folded(term), (kind, weight))
         self.filter.make_automaton()
+        self.context.make_automaton()
 
     def sentence(self, text: str) -> tuple[float, float, float]:
         """Scores (abuse, hate, sexual) of one sentence."""
         known = self.memory.get(text)
         if known is None:
             f = folded(text)
-            known = self._scores(f, text) if next(self.filter.iter(f), None) is not None else (0.0, 0.0, 0.0)
+            if "○" in f:
+                starts = set(range(len(f)))
+            else:
+                starts = {max(0, end - n + 1 - offset + slip) for end, (n, offsets) in self.filter.iter(f) for offset in offsets for slip in (-1, 0, 1)}
+            known = self._scores(f, text, starts) if starts else (0.0, 0.0, 0.0)
             if len(self.memory) > 200_000:
                 self.memory.clear()
             self.memory[text] = known
         return known
 
-    def _scores(self, f: str, text: str) -> tuple[float, float, float]:
-        best: dict[tuple[str, float, str], int] = {}
-        for start, _, value, edits in self.trie.scan(f, bound):
-            if edits == 0 or (value[0] != "cue" and value[0] != "harmless" and value not in best):
-                best.setdefault(value, start)
+    def _scores(self, f: str, text: str, starts: set[int]) -> tuple[float, float, float]:
+        masked = "○" in f
+        best: set[tuple[str, float, str]] = set()
+        for start, end, value, edits in self.trie.scan(f, bound_masked if masked else bound, sorted(starts)):
+            if edits == 0 or bound(len(value[2])) or "○" in f[start:end]:
+                best.add(value)
         if f in self.commands and not _QUOTE.search(text):
-            best[("abuse", 1.0, f)] = 0
+            best.add(("abuse", 1.0, f))
         if not best:
             return (0.0, 0.0, 0.0)
+        context = {kind: weight for _, (kind, weight) in self.context.iter(f)}
+        harm, cue = context.get("harmless", 0.0), context.get("cue", 0.0)
         mentioned = [folded(m.group(1)) for m in _MENTION.finditer(text)]
-        harm = sum(w for kind, w, _ in best if kind == "harmless")
-        cue = max([w for kind, w, _ in best if kind == "cue"], default=0.0)
         out = {"abuse": 0.0, "hate": 0.0, "sexual": 0.0}
         weak = False
         for kind, w, term in best:
-            if kind in out:
-                if any(term in m for m in mentioned):
-                    w *= QUOTED
-                if w == 1.0:
-                    out[kind] += w
-                else:
-                    weak = True
+            if any(term in m for m in mentioned):
+                w *= QUOTED
+            if w == 1.0:
+                out[kind] += w
+            else:
+                weak = True
         if weak:
             out["abuse"] += INSULT + cue
         return tuple(round(max(0.0, v + harm), 2) for v in out.values())

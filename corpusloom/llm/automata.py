@@ -74,13 +74,14 @@ class Trie:
             stack += [(step, x, path + x, row, above, c) for x, step in self.next[node].items()]
         return found
 
-    def scan(self, text: str, bound_of) -> list[tuple[int, int, Hashable, int]]:
+    def scan(self, text: str, bound_of, starts: Iterable[int] | None = None) -> list[tuple[int, int, Hashable, int]]:
         """(start, end, value, edits) of every entry met inside `text` within bound_of(entry length) edits, 0 or 1.
 
-        From every start the automaton's states (trie node, place in the text, edits) walk the trie along the text.
+        From every start, or each of `starts`, the automaton's states (trie node, place in the text, edits) walk the
+        trie along the text.
         """
         out = []
-        for at in range(len(text)):
+        for at in range(len(text)) if starts is None else starts:
             stack, seen = [(0, at, 0, 0)], set()
             while stack:
                 node, pos, edits, depth = stack.pop()
