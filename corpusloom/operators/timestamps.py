@@ -5,7 +5,8 @@ JVM expressions. Wall-clock times then meet the zone-offset intervals of their z
 bucket. Two intervals that hold the local time mean it is ambiguous, none means it never occurred, one gives the offset.
 
 Defined results: null, empty, void or unparsable text gives null; days outside the calendar and years outside
-`years` are no date; rows repeat as they come in; columns with any other names pass through untouched.
+`years` are no date; rows repeat as they come in; other columns pass
+through untouched, whatever their names, but for older ones named moment, moment_kind and moment_from.
 """
 
 from __future__ import annotations
@@ -192,10 +193,13 @@ def normalised(
     """
     own = clocks.where(F.col("recorder").isNotNull()).groupBy("recorder").agg(F.min("zone").alias("_zone"), F.min("day_order").alias("_order"))
     stretches = measured(exploded_intervals(zone_intervals(own, "_zone", years)))
-    keep = df.columns
-    d = df.join(measured(own.withColumnRenamed("recorder", "_recorder")), F.col(recorder) == F.col("_recorder"), "left")
+    # the row travels as one struct, so its own names cannot clash with those used here
+    keep = [c for c in df.columns if c not in ("moment", "moment_kind", "moment_from")]
+    names = [f"_t{i}" for i in range(len(texts))]
+    d = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), *[F.col(f"`{t}`").alias(n) for t, n in zip(texts, names)], F.col(f"`{recorder}`").alias("_by"))
+    d = d.join(measured(own.withColumnRenamed("recorder", "_recorder")), F.col("_by") == F.col("_recorder"), "left")
     # each step is one higher-order call over the texts, so no step's expressions are repeated in the next
-    each = F.transform(F.array(*[F.col(t) for t in texts]), plain)
+    each = F.transform(F.array(*[F.col(n) for n in names]), plain)
     each = F.transform(F.transform(each, fields), lambda f: numbers(f, F.col("_order")))
     each = F.transform(F.transform(each, _full), lambda n: parsed(n, years))
     d = d.withColumn("_each", each)
@@ -219,4 +223,4 @@ def normalised(
         .when(F.size(inside) == 1, "direct")
         .when(F.size(before) > 0, "nonexistent")
     )
-    return d.withColumn("moment_kind", kind).select(*[F.col(f"`{c}`") for c in keep], "moment", "moment_kind", "moment_from")
+    return d.withColumn("moment_kind", kind).select("_row.*", "moment", "moment_kind", "moment_from")
