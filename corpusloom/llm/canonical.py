@@ -211,7 +211,7 @@ def closest(value: str | None, trie: Trie | None) -> str | None:
                 slugs.add(slug)
         if best == (0, 0):
             break
-        for entry, slug, d in trie.within(text, 2):
+        for entry, slug, d in trie.within(text, 2 if len(text) >= 7 else 1 if len(text) >= 3 else 0):
             if d > bound(entry) or not _plausible(entry, text, d):
                 continue
             rank = (d, step)
@@ -244,11 +244,11 @@ def mapped(vocabulary: DataFrame, taxonomy: Column, value: Column) -> Column:
     return run(taxonomy, value)
 
 
-def typed_values(terms: DataFrame, episodes: DataFrame) -> DataFrame:
+def typed_values(terms: DataFrame, episodes: DataFrame, partitions: int) -> DataFrame:
     """(field, row_no, taxonomy, raw): each distinct non-blank value of a row of terms and episodes."""
     listed = terms.select(F.lit("raw_variants").alias("field"), F.col("term_no").alias("row_no"), "taxonomy", F.explode(F.array_distinct("raw_variants")).alias("raw"))
     single = episodes.select(F.lit("corpus").alias("field"), F.col("entry_no").alias("row_no"), F.lit("ts_corpus").alias("taxonomy"), F.col("corpus").alias("raw"))
-    return listed.unionByName(single).where(F.col("raw").rlike(r"(?U)\S")).distinct()
+    return listed.unionByName(single).where(F.col("raw").rlike(r"(?U)\S")).repartition(partitions, "field", "row_no", "taxonomy", "raw").distinct()
 
 
 def found(terms: DataFrame, episodes: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -256,5 +256,8 @@ def found(terms: DataFrame, episodes: DataFrame, vocabulary: DataFrame) -> DataF
     from corpusloom.operators.bounded import measured
 
     exact = measured(vocabulary.select("taxonomy", F.explode(F.array("slug", "name")).alias("raw")).where("raw is not null").distinct())
-    typed = typed_values(terms, episodes).join(exact, ["taxonomy", "raw"], "left_anti")
+    # a fixed number of partitions serves distinct and keeps the mapping in Python spread over the cores
+    cores = terms.sparkSession.sparkContext.defaultParallelism
+    shuffles = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    typed = typed_values(terms, episodes, max(cores, shuffles)).join(exact, ["taxonomy", "raw"], "left_anti")
     return typed.select("field", "row_no", "raw", mapped(vocabulary, F.col("taxonomy"), F.col("raw")).alias("slug")).distinct()
