@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.bounded import checkpointed
+
 
 def best_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order; order must settle ties."""
@@ -16,6 +18,20 @@ def ranked(df: DataFrame, key: list[str], order: list[Column], name: str = "rank
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
+    """(`df` with its rows numbered from 0 in a total order, how many there are), each range of the order in a task of its own."""
+    ranges = checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = ranges.groupBy("_part").count().orderBy("_part").collect()  # one row a partition
+    before, offsets = 0, []
+    for r in counts:
+        offsets.append((r["_part"], before))
+        before += r["count"]
+    o = df.sparkSession.createDataFrame(offsets, "_part int, _before long")
+    w = Window.partitionBy("_part").orderBy(*order)
+    d = ranges.withColumn("_rn", F.row_number().over(w)).join(F.broadcast(o), "_part")
+    return d.withColumn(name, F.col("_before") + F.col("_rn") - 1).drop("_part", "_before", "_rn"), before
+
+
 def carried(df: DataFrame, key: list[str], order: list[Column], value: str, span: str | None = None) -> DataFrame:
     """`value` filled from the last row before that has one; with `span`, only for that many rows from its holder."""
     w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
