@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.automata import Trie
+from corpusloom.llm.lookalikes import SAME_SHAPE
 from corpusloom.operators.bounded import spread
 
 THRESHOLD = 1.0
@@ -74,6 +75,9 @@ _LEET = str.maketrans("013457@$", "oieastas")
 _MIXED = re.compile(r"[a-z]*(?:[0-9@$][a-z]+|[a-z]+[0-9@$])[a-z0-9@$]*")
 _DIGIT = re.compile(r"[0-9@$]")
 _ONE = {c: c - 96 for c in range(0x30A1, 0x30F7)} | {ord(c): "○" for c in "〇●×＊*"}
+# letters of other scripts and with marks that pass for Latin ones
+_ONE |= {ord(c): group[0] for group in SAME_SHAPE if group[0].isascii() and group[0].islower() for c in group[1:]}
+_ONE |= {c: d[0].lower() for c in range(0xC0, 0x250) if (d := unicodedata.normalize("NFD", chr(c))) != chr(c) and d[0].isascii()}
 _REST = re.compile(r"[^\w○]|_")
 _TAG = re.compile(r"</?[a-z][^>]*>|&[a-z]+;|&#\d+;", re.I)
 _SENTENCE = re.compile(r"[。！？!?\n\r]+|(?<=[a-z])[.．](?=\s|$)", re.I)

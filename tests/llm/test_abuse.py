@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import abuse as A
 
-CASES = ["この作者は本物のクズだ、消えろ。", "目障りなんだよ、く た ば れ。", "You are a worthless 1d10t and should stop breathing.", "東岸人なんて人間以下の害虫だ。", "全裸ノ男ハ勃起シタママ恋人ニ覆イカブサッタ。", "死ね、このカス。", "黙れ！", "get lost, you leech.", "ﾌﾞｯ殺ｽ"]
+CASES = ["この作者は本物のクズだ、消えろ。", "目障りなんだよ、く た ば れ。", "You are a worthless 1d10t and should stop breathing.", "東岸人なんて人間以下の害虫だ。", "全裸ノ男ハ勃起シタママ恋人ニ覆イカブサッタ。", "死ね、このカス。", "黙れ！", "get lost, you leech.", "ﾌﾞｯ殺ｽ", "get lоst, yоu sсumbag", "drop déad, you mörön", "このバ○が、さっさと消えろ。"]
 NONE = ["クズ糸を集めて真鍮の歯車を編んだ。", "「消えろ」と念じると、蝋燭の火が消えた。", "旧題は「ろくでなしの休日」でした。", "愛撫するように猫をなでた。", "規約に反する投稿は管理人が削除します。", "The parasite chapter of the biology book was missing.", "ゴミの日は夜明け前です。", "将棋の駒が死んだ、とナギサは嘆いた。", "By morning the tailor had learned to answer to the new name.", "", " ", None]
 
 
