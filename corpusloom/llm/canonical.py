@@ -153,6 +153,12 @@ def bound(entry: str) -> int:
     return 0 if n <= 2 else 1 if n <= 8 else 2
 
 
+@lru_cache(maxsize=None)
+def reach(n: int) -> int:
+    """Most edits that any entry allows to a typed text of n characters: an entry may be longer by as many."""
+    return max(k for k in range(3) if bound("あ" * (n + k)) >= k)
+
+
 def _plausible(entry: str, typed: str, distance: int) -> bool:
     """In short entries with ideographs an ideograph for another is another word, and a lost one is, too."""
     if distance == 0 or entry.isascii():
@@ -211,7 +217,7 @@ def closest(value: str | None, trie: Trie | None) -> str | None:
                 slugs.add(slug)
         if best == (0, 0):
             break
-        for entry, slug, d in trie.within(text, 2 if len(text) >= 7 else 1 if len(text) >= 3 else 0):
+        for entry, slug, d in trie.within(text, reach(len(text))):
             if d > bound(entry) or not _plausible(entry, text, d):
                 continue
             rank = (d, step)

@@ -32,6 +32,14 @@ def test_no_entry():
     assert slug(None) is None and slug(" 　") is None and slug("x" * 50_000) == "none"
 
 
+def test_entry_longer_than_the_value():
+    tries, _ = C._tries((("g", "horror", "ホラー", "ほらー", (), None), ("g", "essay", "エッセイ", "えっせい", (), None)))
+    assert [C.closest(v, tries["g"]) for v in ("ホラ", "ホラもの", "ホラ系", "ホロ", "ホ")] == ["horror"] * 3 + ["none"] * 2
+    # the search reaches whatever bound() allows, and no farther
+    for n in range(1, 30):
+        assert C.reach(n) == max(C.bound("あ" * m) for m in range(1, 40) if abs(m - n) <= C.bound("あ" * m) or m == n)
+
+
 def test_rows(spark):
     vocab = spark.createDataFrame(VOCAB, SCHEMA)
     terms = spark.createDataFrame([(1, "g", ["fantazy", None, " ", "comedy", "コメディ", "fantazy"], "x"), (2, "g", None, "x"), (3, None, ["a"], "x")], "term_no long, taxonomy string, raw_variants array<string>, slug string")
