@@ -35,7 +35,10 @@ def compared_versions(df: DataFrame, group: list[str], order: list, key: str, te
     plain = lambda x: F.regexp_replace(F.col(x), r"(?U)<[^>]+>|\s+", "")
     j = j.withColumn("step", F.when(F.col(text) == F.col("_t"), "bytes").when(plain(text) == plain("_t"), "text").otherwise("similar"))
     exact = j.where("step <> 'similar'").withColumn("sim", F.lit(1.0))
-    near = j.where("step = 'similar'").withColumn("sim", similarity(F.col(text), F.col("_t")))
+    # matching is quadratic in the length: a fixed number of partitions keeps it spread over the cores
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    near = j.where("step = 'similar'").repartition(parts, key).withColumn("sim", similarity(F.col(text), F.col("_t")))
     out = exact.unionByName(near)
     return out.select(key, "canonical", "step", F.round("sim", 4).alias("sim"), F.when(F.col("sim") >= SAME, "same").when(F.col("sim") >= REVIEW, "review").otherwise("distinct").alias("verdict"))
 

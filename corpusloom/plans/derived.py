@@ -81,9 +81,9 @@ def src02_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def txt14_versions(spark: SparkSession, d: str) -> DataFrame:
-    """Summaries of one episode against the first of them: bytes, text, similar."""
-    t = table(spark, d, "documents").where("kind = 'arasuji' and text is not null and episode_id is not null").select("doc_id", "episode_id", "text")
-    return versions.compared_versions(t, ["episode_id"], [F.col("doc_id")], "doc_id", "text")
+    """Documents of one kind and episode, long bodies too, against the first of them: bytes, text, similar."""
+    t = table(spark, d, "documents").where("text is not null and episode_id is not null").select("doc_id", "kind", "episode_id", "text")
+    return versions.compared_versions(t, ["kind", "episode_id"], [F.col("doc_id")], "doc_id", "text")
 
 
 @query()

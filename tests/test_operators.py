@@ -152,6 +152,17 @@ def test_versions(spark):
     assert dict(values(versions.families(f, "w", "o", "c"), "o", "family")) == {1: 0, 2: 1, 3: 0, 4: 2, 5: 3}
 
 
+def test_versions_of_all_kinds(spark, tmp_path):
+    from corpusloom.plans import derived
+
+    body = "".join(chr(0x4E00 + i * 7 % 997) for i in range(5000))
+    rows = [(1, "body", "e", body), (2, "body", "e", body[:2500] + "x" + body[2500:]), (3, "comment", "e", "ab"), (4, "comment", "e", "ab"), (5, "arasuji", "e", body), (6, "body", None, body), (7, "body", "e", None), (8, "body", "f", body)]
+    spark.createDataFrame(rows, "doc_id long, kind string, episode_id string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = derived.txt14_versions(spark, str(tmp_path))
+    # versions are of one kind and episode; bodies are compared whole
+    assert {tuple(r) for r in got.collect()} == {(2, 1, "similar", 0.9999, "same"), (4, 3, "bytes", 1.0, "same")}
+
+
 def test_measured(spark):
     d = spark.range(10)
     assert measured(d, 20).count() == 10 and measured(d, 5) is d
