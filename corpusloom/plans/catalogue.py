@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import markup, text, urls
 from corpusloom.operators import graph, records
+from corpusloom.operators.bounded import checkpointed
 from corpusloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -683,6 +684,37 @@ def grf01_clusters(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(edges.unionByName(alone)).select(F.col("node").alias("entry_no"), F.col("label").alias("work"))
 
 
+@query()
+def grf01_works(spark: SparkSession, d: str) -> DataFrame:
+    """Every line with its work, closed to one author, and the rules that joined it: equal file or id, then within an
+    author the same directory and file stem, or the same title core of four or more characters.
+
+    A cluster of equal files and ids has the author of most of its lines; without one it joins no other.
+    """
+    e = table(spark, d, "episodes")
+    name = F.concat(F.lit("n:"), F.when(text.norm_name("author") != "", text.norm_name("author")))
+    who = join15_author_cascade(spark, d).select("entry_no", F.concat(F.lit("s:"), "slug").alias("_s"))
+    stem = F.regexp_replace(F.regexp_replace(urls.basename(F.col("source_path")), r"\.[^.]*$", ""), r"[\s\-_]*[0-9０-９]+$", "")
+    lines = (
+        e.join(grf01_clusters(spark, d), "entry_no", "left").join(who, "entry_no", "left")
+        .select("entry_no", "source_path", "episode_id", F.coalesce("work", "entry_no").alias("base"), F.coalesce("_s", name).alias("author"),
+                F.struct(urls.dirname(F.col("source_path")).alias("dir"), F.when(stem != "", stem).alias("stem")).alias("place"), text.title_core(F.col("title")).alias("core"))
+    )
+    lines = checkpointed(lines)
+    votes = lines.where("author is not null").groupBy("base", "author").agg(F.count("*").alias("n"))
+    authors = votes.groupBy("base").agg(F.min(F.struct(-F.col("n"), "author"))["author"].alias("author"))
+    places = lines.where("place.stem is not null").select("base", F.lit("filename-stem").alias("rule"), F.to_json("place").alias("k"))
+    cores = lines.where("length(core) >= 4").select("base", F.lit("title-prefix").alias("rule"), F.col("core").alias("k"))
+    members = checkpointed(places.unionByName(cores).distinct().join(authors, "base"))
+    alone = lines.select(F.col("base").alias("x"), F.col("base").alias("y")).distinct()
+    works = graph.components(graph.stars(members, ["rule", "author", "k"], "base").unionByName(alone)).select(F.col("node").alias("base"), F.col("label").alias("work"))
+    same = [lines.where(f"{c} is not null").groupBy(c).agg(F.min("base").alias("base"), F.count("*").alias("n")).select("base", "n", F.lit(rule).alias("rule")) for c, rule in (("source_path", "path"), ("episode_id", "id"))]
+    joined = members.groupBy("rule", "author", "k").agg(F.min("base").alias("base"), F.count("*").alias("n")).select("base", "n", "rule").unionByName(same[0]).unionByName(same[1])
+    evidence = joined.where("n > 1").join(works, "base").groupBy("work").agg(F.array_sort(F.collect_set("rule")).alias("evidence"))
+    out = lines.select("entry_no", "base").join(works, "base").join(authors, "base", "left").join(evidence, "work", "left")
+    return out.select("entry_no", "work", "author", F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"))
+
+
 @query("""
 WITH m AS (SELECT DISTINCT work_slug, evidence, episode_count, x.episode_id AS e FROM (SELECT work_slug, evidence, episode_count, unnest(episodes) AS x FROM works)),
 g AS (SELECT work_slug, any_value(evidence) AS ev, max(episode_count) AS n, count(DISTINCT regexp_extract(e, '^(.*)__[^_]*', 1)) AS dirs FROM m GROUP BY work_slug)

@@ -163,6 +163,27 @@ def test_versions_of_all_kinds(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {(2, 1, "similar", 0.9999, "same"), (4, 3, "bytes", 1.0, "same")}
 
 
+def test_works_of_one_author(spark, tmp_path):
+    from corpusloom.plans import catalogue
+
+    rows = [
+        (1, "a", "n/d/moon01.html", "窓の夜（1）", "甲", None), (2, "b", "n/d/moon02.html", "別の題", "甲", None), (3, "b", "n/d/moon02.html", None, None, None),  # file stem; a line sent again
+        (4, "c", "n/d/moon03.html", "他人の話", "乙", None),  # the same stem by another
+        (5, "d", "n/e/x.html", "長い題名 その一", "甲の二", "board"), (6, "e", "n/f/y.html", "長い題名（2）", "甲", "board"), (7, "f", "n/g/z.html", "長い題名", "乙", None),  # title core, author by board
+        (8, "g", "n/h/01.html", "短い題", "甲", None), (9, "h", "n/h/02.html", "短い題", "甲", None),  # neither stem nor long core
+        (10, None, None, "長い題名", None, None),
+    ]
+    spark.createDataFrame(rows, "entry_no long, episode_id string, source_path string, title string, author string, kansou_slug string").write.parquet(f"{tmp_path}/episodes.parquet")
+    spark.createDataFrame([("kou", "甲の筆名", None, "board")], "slug string, display_name string, display_variants array<string>, kansou_slug string").write.parquet(f"{tmp_path}/authors.parquet")
+    got = catalogue.grf01_works(spark, str(tmp_path)).collect()
+    assert {r["entry_no"]: r["work"] for r in got} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8, 9: 9, 10: 10} and len(got) == 10
+    assert {r["entry_no"]: r["evidence"] for r in got if r["evidence"]} == {1: (w := ["filename-stem", "id", "path"]), 2: w, 3: w, 5: ["title-prefix"], 6: ["title-prefix"]}
+    authors = {}
+    for r in got:
+        authors.setdefault(r["work"], set()).add(r["author"])
+    assert all(len(a) == 1 for a in authors.values())
+
+
 def test_measured(spark):
     d = spark.range(10)
     assert measured(d, 20).count() == 10 and measured(d, 5) is d
