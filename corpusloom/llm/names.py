@@ -4,7 +4,8 @@ Every slug gets the written forms known for it: itself and its row's names. Form
 letters with the spelling systems for Japanese folded together, ideographs with old forms folded, mixed spellings as
 reading and ideographs, and weaker ones (one part of a name, initials, first ideographs, nicknames). Latin keys meet
 within a bounded edit distance by a pigeonhole join: the known key is cut into k + 1 segments, the typed key's
-substrings at shifted places are looked up in the inverted index of segments, and a banded edit distance decides.
+substrings at shifted places, also with an exchange at their borders undone, are looked up in the inverted index of
+segments, and a banded edit distance decides.
 
 Slugs of confirmed records are persons. Another slug joins the person for whom its evidence is strongest, if that is
 enough and no other person has as much. Slugs without a person are linked among themselves by equal and close keys.
@@ -241,25 +242,37 @@ def segments(key: str, k: int) -> list[tuple[int, int, str]]:
     return out
 
 
+def reach(n: int) -> int:
+    """Most edits between a key of n letters and any other: the longer key sets the bound."""
+    return max(k for k in range(3) if bound(n + k) >= k)
+
+
 def index_keys(key: str) -> list[str]:
-    """The inverted index's entries of a known key."""
-    k = bound(len(key))
-    return [f"{len(key)}|{i}|{text}" for i, _, text in segments(key, k)] if k else []
+    """The inverted index's entries of a known key, for each bound that a pair with it can have."""
+    n = len(key)
+    return [f"{n}|{k}|{i}|{text}" for k in range(max(1, bound(n)), reach(n) + 1) for i, _, text in segments(key, k)]
 
 
 def probe_keys(key: str) -> list[str]:
-    """What a typed key looks up: for each length within reach, its substrings at shifted places of each segment."""
+    """What a typed key looks up: for each length within reach, its substrings at shifted places of each segment.
+
+    An exchange across a segment's border would spoil two segments, so each substring is also looked up with its first
+    letter from before it or its last from after it; then every edit spoils one segment at most.
+    """
     out = set()
     for n in range(len(key) - 2, len(key) + 3):
-        k = bound(n)
+        k = bound(max(n, len(key)))
         if not k or abs(n - len(key)) > k:
             continue
-        at = 0
-        for i in range(k + 1):
-            size = n // (k + 1) + (1 if i >= (k + 1) - n % (k + 1) else 0)
+        for i, at, text in segments("?" * n, k):
+            size = len(text)
             for start in range(max(0, at - k), min(len(key) - size, at + k) + 1):
-                out.add(f"{n}|{i}|{key[start : start + size]}")
-            at += size
+                end = start + size
+                out.add(f"{n}|{k}|{i}|{key[start:end]}")
+                if start > 0:
+                    out.add(f"{n}|{k}|{i}|{key[start - 1]}{key[start + 1 : end]}")
+                if end < len(key):
+                    out.add(f"{n}|{k}|{i}|{key[start : end - 1]}{key[end]}")
     return sorted(out)
 
 
@@ -328,11 +341,12 @@ def near(typed: DataFrame, known: DataFrame) -> DataFrame:
     """(a, b, d): keys of `typed` and `known` within the bound for the longer length, by the pigeonhole segment join."""
     left = typed.select(F.col("key").alias("a")).distinct().select("a", F.explode(_probes("a")).alias("_seg"))
     right = known.select(F.col("key").alias("b")).distinct().select("b", F.explode(_index("b")).alias("_seg"))
-    # two plain edits hold every exchange of neighbours, so nothing within the bound is lost here
-    pairs = left.join(right, "_seg").where("a <> b and levenshtein(a, b, 2) >= 0").select("a", "b").distinct()
     n = F.greatest(F.length("a"), F.length("b"))
-    reach = F.when(n < 5, 0).when(n < 9, 1).otherwise(2)
-    return pairs.withColumn("d", _distance("a", "b")).where(F.col("d") <= reach)
+    most = F.when(n < 5, 0).when(n < 9, 1).otherwise(2)
+    # an exchange of neighbours is two plain edits
+    close = F.levenshtein("a", "b", 4).between(0, 2 * most)
+    pairs = left.join(right, "_seg").where((F.col("a") != F.col("b")) & close).select("a", "b").distinct()
+    return pairs.withColumn("d", _distance("a", "b")).where(F.col("d") <= most)
 
 
 def _people(authors: DataFrame, works: DataFrame) -> DataFrame:

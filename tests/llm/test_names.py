@@ -43,3 +43,23 @@ def test_keys():
     assert ("mixed", "m:nisihata|杏乃") in N.name_keys("にしはた杏乃") and ("name", "h:北村恋吉") in N.name_keys("北村戀吉（きたむら）")
     assert N.slug_parts("umain_m0012") == (["umain", "m"], "0012") and N.code_fits("akaa", "akase_anmon") and not N.code_fits("akab", "akase_anmon")
     assert N.name_keys("") == [] and N.name_keys("x" * 100_000)
+
+
+def test_nothing_within_the_bound_is_lost(spark):
+    near = {("kurosawa", "kursoawa"): 1, ("kano", "kanno"): 1, ("kitamura", "kitammuura"): 2, ("aobashiyuzuki", "aobahsiyuuzuki"): 2, ("nishihata", "insihihata"): 2}
+    far = [("kano", "kona"), ("kurosawa", "kursoaaw")]
+    pairs = [*near, *far]
+    typed, known = (spark.createDataFrame([(p[i],) for p in pairs], "key string") for i in (1, 0))
+    got = {(r["b"], r["a"]): r["d"] for r in N.near(typed, known).collect()}
+    assert got == near
+    # every key one or two edits off meets the known one, either way round
+    import random
+
+    draw = random.Random(5)
+    for _ in range(3000):
+        a = b = "".join(draw.choice("aiknos") for _ in range(draw.randint(3, 14)))
+        for _ in range(draw.randint(1, 2)):
+            i = draw.randrange(len(b) + 1)
+            b = draw.choice([b[:i] + draw.choice("aiknos") + b[i:], b[:i] + b[i + 1 :], b[:i] + draw.choice("aiknos") + b[i + 1 :], b[:i] + b[i + 1 : i + 2] + b[i : i + 1] + b[i + 2 :]])
+        if a != b and b and N.distance(a, b, 2) <= N.bound(max(len(a), len(b))):
+            assert set(N.index_keys(a)) & set(N.probe_keys(b)) and set(N.index_keys(b)) & set(N.probe_keys(a)), (a, b)
