@@ -414,6 +414,11 @@ def _fits(codes: pd.Series, people: pd.Series) -> pd.Series:
     return pd.Series([c is not None and code_fits(c, p) for c, p in zip(codes, people)], dtype=bool)
 
 
+@F.pandas_udf(T.BooleanType())
+def _is_nobody(names: pd.Series) -> pd.Series:
+    return names.map(is_nobody).astype(bool)
+
+
 def _among_themselves(rest: DataFrame, typed: DataFrame) -> DataFrame:
     """(slug, person) of slugs without a confirmed person: connected by equal or close letters or equal full names."""
     keys = typed.join(rest.select("slug"), "slug", "left_semi").where("kind in ('slug', 'name', 'latin')")
@@ -427,7 +432,7 @@ def _among_themselves(rest: DataFrame, typed: DataFrame) -> DataFrame:
 
 def pairs(authors: DataFrame, works: DataFrame) -> DataFrame:
     """(slug_a, slug_b): each two different slugs of one person, slug_a < slug_b in code point order."""
-    who = links(authors, works).where(~F.lower("slug").rlike("^(guest|anonymous|nanashi|unknown)"))
+    who = links(authors, works).where(~_is_nobody("slug"))
     who = checkpointed(who)
     x, y = who.alias("x"), who.alias("y")
     return x.join(y, (F.col("x.person") == F.col("y.person")) & (F.col("x.slug") < F.col("y.slug"))).select(F.col("x.slug").alias("slug_a"), F.col("y.slug").alias("slug_b"))

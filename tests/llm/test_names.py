@@ -63,3 +63,9 @@ def test_nothing_within_the_bound_is_lost(spark):
             b = draw.choice([b[:i] + draw.choice("aiknos") + b[i:], b[:i] + b[i + 1 :], b[:i] + draw.choice("aiknos") + b[i + 1 :], b[:i] + b[i + 1 : i + 2] + b[i : i + 1] + b[i + 2 :]])
         if a != b and b and N.distance(a, b, 2) <= N.bound(max(len(a), len(b))):
             assert set(N.index_keys(a)) & set(N.probe_keys(b)) and set(N.index_keys(b)) & set(N.probe_keys(a)), (a, b)
+
+
+def test_person_named_like_a_placeholder(spark):
+    a = spark.createDataFrame([("nanashima_ken", "七島健", None, None, "confirmed"), ("guest", "七島健", None, None, "confirmed"), ("guest00x1", "七島健", None, None, "auto")], A)
+    w = spark.createDataFrame([("nanashima-ken", "七島健")], "author_slug string, credit string")
+    assert {tuple(r) for r in N.pairs(a, w).collect()} == {("nanashima-ken", "nanashima_ken")}
