@@ -12,14 +12,18 @@ ends go; texts of any length are rewritten whole.
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Iterable
+from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.bounded import checkpointed
+
 # Characters of one shape, one class in each group.
 SAME_SHAPE = [
     # Latin, Cyrillic, Greek
@@ -161,9 +165,8 @@ def rewritten(text: str | None, a: ahocorasick.Automaton) -> str | None:
     """`text` with every leftmost longest pattern replaced until none is left, blanks at the ends off."""
     if text is None:
         return None
-    for _ in range(8):
-        if not len(a):
-            break
+    # each round shortens the text, or puts representatives, which are no patterns, for patterns: it comes to an end
+    while len(a):
         out, at = [], 0
         for end, (n, y) in a.iter_long(text):
             out.append(text[at : end - n + 1])
@@ -183,41 +186,62 @@ def char_counts(df: DataFrame, columns: Iterable[str]) -> dict[str, int]:
     return {r[0]: r[1] for r in chars.where("_c <> ''").groupBy("_c").count().collect() if r[0]}
 
 
+class _Worker:
+    """The automaton of one rule table in a worker, found by the table's name."""
+
+    def __init__(self, name: str, table: dict[str, str]):
+        self.name, self.table = name, table
+
+    def __hash__(self) -> int:
+        return hash(self.name)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, _Worker) and self.name == other.name
+
+
+@lru_cache(maxsize=4)
+def _automaton(worker: _Worker) -> ahocorasick.Automaton:
+    return automaton(worker.table)
+
+
+def all_rewritten(texts: pd.Series, a: ahocorasick.Automaton) -> pd.Series:
+    """The consistent forms of a batch, as strings even where every one of them is null."""
+    known = {t: rewritten(t, a) for t in texts.dropna().unique()}
+    return pd.Series([known.get(t) if isinstance(t, str) else None for t in texts], index=texts.index, dtype=object)
+
+
 def look(column: Column, table: dict[str, str]) -> Column:
     """The consistent form of a string column under a rule table."""
+    worker = _Worker(hashlib.sha256(repr(sorted(table.items())).encode("utf-8", "surrogatepass")).hexdigest(), table)
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        a = automaton(table)
-        known = {t: rewritten(t, a) for t in s.dropna().unique()}
-        return s.map(known, na_action="ignore")
+        return all_rewritten(s, _automaton(worker))
 
     return run(column)
 
 
+def places(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, place, form): every row with what its columns look like together and how they are stored, as JSON arrays.
+
+    Rows of one place look the same; they are stored alike where their forms are equal too. A null looks like nothing
+    but null. Distinct stored forms are rewritten once each, whatever the number of rows.
+    """
+    table = rules(char_counts(df, columns))
+    d = df.select(F.col(f"`{key}`").alias("key"), F.to_json(F.array(*[F.col(f"`{c}`") for c in columns])).alias("form"))
+    forms = d.select("form").distinct().select("form", F.from_json("form", "array<string>").alias("_f"))
+    forms = forms.select("form", F.to_json(F.array(*[look(F.col("_f")[i], table) for i in range(len(columns))])).alias("place"))
+    return d.join(forms, "form").select("key", "place", "form")
+
+
 def same_looking_pairs(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(a, b): pairs of keys, a < b, whose columns all look the same though at least one is stored differently.
 
-    Distinct stored forms are compared first; rows come back only for looks with more than one stored form. A null
-    looks like nothing but null.
+    Only places stored in more than one form reach the join of pairs; nothing gathers the forms or rows of a place.
     """
-    table = rules(char_counts(df, columns))
-    raw = [f"_r{i}" for i in range(len(columns))]
-    d = df.select(F.col(f"`{key}`").alias("_k"), *[F.col(f"`{c}`").alias(r) for c, r in zip(columns, raw)])
-    forms = d.select(*raw).distinct()
-    forms = forms.withColumns({r.replace("_r", "_l"): look(F.col(r), table) for r in raw})
-    looks = [r.replace("_r", "_l") for r in raw]
-    nulls = [F.col(c).isNull().alias(f"{c}n") for c in looks]
-    odd = (
-        forms.groupBy(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in looks], *nulls)
-        .agg(F.collect_list(F.struct(*raw)).alias("_forms"))
-        .where(F.size("_forms") > 1)
-        .select(F.struct(*looks, *[f"{c}n" for c in looks]).alias("_id"), F.posexplode("_forms").alias("_form", "_f"))
-        .select("_id", "_form", *[F.col(f"_f.{r}").alias(r) for r in raw])
-    )
-    on = odd[raw[0]].eqNullSafe(d[raw[0]])
-    for r in raw[1:]:
-        on = on & odd[r].eqNullSafe(d[r])
-    rows = d.join(odd, on).select("_id", "_form", "_k")
+    rows = checkpointed(places(df, key, columns))
+    odd = rows.groupBy("place").agg((F.min("form") != F.max("form")).alias("_odd")).where("_odd").select("place")
+    rows = rows.join(odd, "place", "left_semi")
     x, y = rows.alias("x"), rows.alias("y")
-    return x.join(y, (F.col("x._id") == F.col("y._id")) & (F.col("x._form") != F.col("y._form")) & (F.col("x._k") < F.col("y._k"))).select(F.col("x._k").alias("a"), F.col("y._k").alias("b"))
+    on = (F.col("x.place") == F.col("y.place")) & (F.col("x.form") != F.col("y.form")) & (F.col("x.key") < F.col("y.key"))
+    return x.join(y, on).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))

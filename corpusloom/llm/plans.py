@@ -39,6 +39,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("entry_a"), F.col("b").alias("entry_b"))
 
 
+def p5_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every episode with the first episode of its place, how many share the place and in how many stored forms."""
+    from corpusloom.llm import lookalikes
+    from corpusloom.operators.bounded import checkpointed
+
+    episodes = _table(spark, sf_dir, "episodes").select("entry_no", "source_path", "source_anchor")
+    rows = checkpointed(lookalikes.places(episodes, "entry_no", ["source_path", "source_anchor"]))
+    # forms are counted first, so a place with many rows is one small group of forms
+    forms = rows.groupBy("place", "form").agg(F.min("key").alias("first"), F.count("*").alias("n"))
+    each = forms.groupBy("place").agg(F.min("first").alias("first_entry"), F.sum("n").alias("entries"), F.count("*").alias("forms"))
+    return rows.join(each, "place").select(F.col("key").alias("entry_no"), "first_entry", "entries", "forms")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     from corpusloom.llm import bpe
@@ -91,5 +104,5 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(_table(spark, sf_dir, "documents"), "source", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_space": p7_space, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p5_found": p5_found, "p5_places": p5_places, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_space": p7_space, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 SQL: dict[str, str] = {}
