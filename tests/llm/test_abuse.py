@@ -8,6 +8,72 @@ from corpusloom.llm import abuse as A
 CASES = ["この作者は本物のクズだ、消えろ。", "目障りなんだよ、く た ば れ。", "You are a worthless 1d10t and should stop breathing.", "東岸人なんて人間以下の害虫だ。", "全裸ノ男ハ勃起シタママ恋人ニ覆イカブサッタ。", "死ね、このカス。", "黙れ！", "get lost, you leech.", "ﾌﾞｯ殺ｽ", "get lоst, yоu sсumbag", "drop déad, you mörön", "このバ○が、さっさと消えろ。"]
 NONE = ["クズ糸を集めて真鍮の歯車を編んだ。", "「消えろ」と念じると、蝋燭の火が消えた。", "旧題は「ろくでなしの休日」でした。", "愛撫するように猫をなでた。", "規約に反する投稿は管理人が削除します。", "The parasite chapter of the biology book was missing.", "ゴミの日は夜明け前です。", "将棋の駒が死んだ、とナギサは嘆いた。", "By morning the tailor had learned to answer to the new name.", "", " ", None]
 
+# written by hand, none of them from the test tables
+PLAIN = [
+    "You stupid bitch, I hope you die.",
+    "Fuck you and your whole family.",
+    "I am going to kill you tonight.",
+    "You ugly pig, nobody likes you.",
+    "Go kill yourself, loser.",
+    "You're such an idiot.",
+    "Shut the hell up, you dumb clown.",
+    "Watch your back, I know where you live.",
+    "Those people are vermin and should be exterminated.",
+    "Immigrants are parasites, deport them all.",
+    "They are an inferior race of thieves.",
+    "He fucked her hard against the naked wall.",
+    "She licked his nipples and moaned as he thrust.",
+    "His cock slid into her pussy.",
+    "お前なんか死んでしまえ。",
+    "きもいんだよ、ブス。",
+    "あんたみたいなゴミは生きてる価値がない。",
+    "うるせえ黙れ、このクソ野郎。",
+    "お前の家族ごと殺してやる。",
+    "顔を潰してやるから覚悟しろ。",
+    "外国人どもは国に帰れ、犯罪者ばかりだ。",
+    "あの民族は劣等だ、一掃しろ。",
+    "奴らは人間以下の虫けらだ。",
+    "彼女のおっぱいを揉み、乳首を舐めた。",
+    "裸の彼女は喘ぎながら何度も絶頂に達した。",
+    "男は肉棒を突き入れた。",
+    "お前ら全員バカだろ、さっさと消えろ。",
+    "この能無し、二度と書くな。",
+    "y0u are a p@thetic l0ser",
+    "ｵﾏｴﾊ ｸｽﾞﾀﾞ",
+]
+MEANT_OTHERWISE = [
+    'You are reading the phrase "born liars and thieves" was printed there.',
+    "お前は「地獄に落ちろ」との札を見た。",
+    'The word "idiot" is banned on this board.',
+    "「死ね」という言葉は使わないでください。",
+    "あなたにご迷惑をおかけしました。",
+    "害虫駆除のお知らせです。住民の皆さんへ。",
+    "The naked truth is that they were late.",
+    "雨に濡れた肌が冷たい。",
+    "転んで腰を強く打ちつけた。",
+    "I am such an idiot for missing the train.",
+    "You will love the thief in this story.",
+    "The doctor examined her breasts for lumps.",
+    "動かすのはお前の役目だ。",
+    "You can kill the process with this command.",
+    "People should not be allowed to park here.",
+    "関係者以外の立ち入りはお断りします。",
+    "The interior of their house was lovely.",
+    "You walked toward the harbour.",
+    "崩れかすかに光るお前の影。",
+    "彼は馬に乗り、槍で敵を突き上げた。",
+    "人気絶頂の歌手が来た。",
+    "バカンスはあなたと海で。",
+    "He beat your record by a second.",
+    "They were thieves in the old tale.",
+    "Their garden was infested, so they called the vermin control.",
+    "「お前はクズだ」と言われた彼は泣いた。",
+    "家族と夜道を歩いた。",
+    "My lover made the bed until noon.",
+    "お前の腕を折ってしまうところだった、すまない。",
+    "The killer whale dives into the sea.",
+]
+
 
 def test_cases():
     lex = A.lexicon()
@@ -38,3 +104,41 @@ def test_against_labels(spark):
     hit = sum(r["toxic"] and r["y"] == 1 for r in rows)
     # about three rulings in a hundred are wrong, which the few true cases feel
     assert hit >= 0.7 * sum(r["y"] == 1 for r in rows) and hit >= 0.95 * sum(r["toxic"] for r in rows)
+
+
+def test_plain_sentences_of_other_hands():
+    lex = A.lexicon()
+    found = sum(max(lex.document(t)) >= A.THRESHOLD for t in PLAIN)
+    wrong = [t for t in MEANT_OTHERWISE if max(lex.document(t)) >= A.THRESHOLD]
+    assert found >= 0.9 * len(PLAIN) and len(wrong) <= 0.1 * len(MEANT_OTHERWISE)
+
+
+def test_one_harmless_word_hides_nothing():
+    lex = A.lexicon()
+    assert max(lex.document("ゴミの日に言うけど、お前は本物のクズだ。")) >= 1 and max(lex.document("Beside the leech jar: you worthless moron.")) >= 1
+    # quoted and mentioned, said in quotation marks, and said beside a quotation
+    assert max(lex.document("「お前は本物のクズだ」という言葉が並ぶ。")) < 1 <= max(lex.document("「お前は本物のクズだ。」"))
+    assert max(lex.document("「静かに」と書いた。お前は本物のクズだ。")) >= 1
+    long = "You are a worthless idiot and should stop breathing. " * 3
+    assert max(lex.document(f'He read the phrase "{long}" was on the wall.')) < 1 <= max(lex.document(long))
+
+
+def test_without_the_longer_phrases(monkeypatch):
+    """Words and short stems alone find nearly all that the whole lexicon finds."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("needs the test tables")
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table(path, columns=["text"])["text"].to_pylist() if t]
+    whole = A.lexicon()
+    cases = [t for t in texts if max(whole.document(t)) >= A.THRESHOLD]
+    short = {p: [t for t in terms if " " not in t and (t.isascii() or len(t) <= 4)] for p, terms in A.lex.TERMS.items()}
+    monkeypatch.setattr(A.lex, "TERMS", short)
+    few = A.Lexicon()
+    assert sum(max(few.document(t)) >= A.THRESHOLD for t in cases) >= 0.8 * len(cases)
+
+
+def test_one_sentence_of_many_terms_ends():
+    lex = A.lexicon()
+    assert max(lex.document("バカなアホのクズ、" * 20_000)) >= 1 and max(lex.document("you idiot and " * 20_000)) >= 1
