@@ -1,10 +1,14 @@
 """Items of varying length in containers of fixed capacity, with little space left.
 
 The histogram of piece lengths is the whole problem: pieces of one length are alike. A configuration linear program
-(how often to use each way of filling a container) is solved by multiplicative weights: dual prices of lengths move with
-how well each length is covered, and a knapsack by dynamic programming over the capacity finds the best-paying filling
-for the prices. The fractional solution is rounded down, and the pieces it leaves go best-fit decreasing. Only the
-histogram, at most `capacity` counts, reaches the driver; pieces meet their containers in a join by rank within length.
+(how often to use each way of filling a container) is solved by multiplicative weights: the dual price of a length
+falls as the length gets covered, and a knapsack by dynamic programming over the capacity gives the best-paying
+fillings for the prices, one round of the lengths that are behind from one table. The fractional solution never covers
+a length more often than it occurs; it is rounded down, and the pieces that are left make the next, smaller program,
+until none is left. Every container comes from a filling of a program. All lengths are priced, at every size.
+
+Only the histogram, at most `capacity` counts, reaches the driver; pieces meet their containers in a join by rank
+within length, in blocks of ranks, so no length is gathered or searched in one task.
 
 Defined results: an item longer than the capacity is cut into full pieces and a rest, no other is cut; empty and null
 texts have no tokens and take no container; ties between items of a length are settled by key; no item is lost.
@@ -16,99 +20,119 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def best_filling(prices: np.ndarray, lengths: np.ndarray, counts: np.ndarray, capacity: int, unit: int) -> dict[int, int]:
-    """A best-paying filling, {index of length: how many}, within the counts: 0/1 knapsack by numpy rows, counts in powers of two.
-
-    Lengths are rounded up to `unit`, so a filling always fits.
-    """
-    room = capacity // unit
-    value = np.zeros(room + 1)
-    took: list[tuple[int, int, int, np.ndarray]] = []
-    for i in np.argsort(-prices / lengths)[: 4 * 64]:
-        size, left, many = -(-int(lengths[i]) // unit), min(int(counts[i]), capacity // int(lengths[i])), 1
-        while left > 0 and size * min(many, left) <= room:
-            n = min(many, left)
-            w = size * n
-            with_ = value[:-w] + prices[i] * n if w else value
-            better = np.zeros(room + 1, bool)
-            better[w:] = with_ > value[w:] + 1e-12
-            if better.any():
-                value = np.where(better, np.concatenate([np.zeros(w), with_]), value)
-                took.append((int(i), n, w, better))
-            left -= n
-            many *= 2
-    at, out = int(value.argmax()), {}
-    for i, n, w, better in reversed(took):
-        if better[at]:
-            out[i] = out.get(i, 0) + n
-            at -= w
+#: Pieces numbered by one task at a time, and blocks of ranks of one length at most.
+SHARD, BLOCKS = 50_000, 1024
+#: A filling is taken at its fractional count if it leaves no more than this share of the container.
+WASTE = 0.02
+
+
+class Knapsack:
+    """The dynamic program over a container's room. Lengths ascend and count in units, rounded up, so a filling fits."""
+
+    def __init__(self, lengths: np.ndarray, capacity: int, unit: int) -> None:
+        self.sizes = -(-lengths // unit)
+        # a length that fills the last, broken unit goes alone
+        self.whole = capacity // unit
+        self.room = max(self.whole, int(self.sizes.max()))
+        self.fitting = np.searchsorted(self.sizes, np.arange(self.room + 1), side="right")
+
+    def solve(self, prices: np.ndarray) -> None:
+        """Fills the table: the best pay for each room, and the length to take there (-1: leave a unit)."""
+        self.prices, self.pay, self.take = prices, np.zeros(self.room + 1), np.full(self.room + 1, -1)
+        for c in range(1, self.room + 1):
+            self.pay[c] = self.pay[c - 1]
+            k = self.fitting[c]
+            if k:
+                offers = self.pay[c - self.sizes[:k]] + prices[:k]
+                j = int(offers.argmax())
+                if offers[j] > self.pay[c] + 1e-12:
+                    self.pay[c], self.take[c] = offers[j], j
+
+    def filling(self, first: int, counts: np.ndarray, open_: np.ndarray) -> dict[int, int]:
+        """{index of length: how many} that begins with `first` and goes on along the table, within the counts."""
+        out, c = {first: 1}, self.whole - int(self.sizes[first])
+        while c > 0:
+            j = int(self.take[c])
+            if j < 0:
+                c -= 1
+                continue
+            if out.get(j, 0) >= counts[j] or not open_[j]:
+                k = self.fitting[c]
+                offers = np.where(open_[:k], self.pay[c - self.sizes[:k]] + self.prices[:k], -1.0)
+                for i, n in out.items():
+                    if i < k and n >= counts[i]:
+                        offers[i] = -1.0
+                j = int(offers.argmax())
+                if offers[j] <= 0:
+                    break
+            out[j] = out.get(j, 0) + 1
+            c -= int(self.sizes[j])
+        return out
+
+
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, eta: float) -> dict[tuple[tuple[int, int], ...], float]:
+    """{filling: how often}, a solution of the program that covers no length more often than it occurs."""
+    knapsack = Knapsack(lengths, capacity, max(1, capacity // 2048))
+    weights, covered = lengths / capacity, np.zeros(len(lengths))
+    share = float((lengths * counts).sum()) / capacity / rounds
+    out: dict[tuple[tuple[int, int], ...], float] = {}
+    for r in range(1, rounds + 1):
+        lag = r / rounds - covered / counts
+        knapsack.solve(weights * np.exp(eta * (lag - lag.mean())))
+        left = share
+        for i in np.argsort(-lag * weights, kind="stable"):
+            need = r / rounds * counts[i] - covered[i]
+            if left <= 0 or need <= 0:
+                continue
+            chosen = knapsack.filling(int(i), counts, covered < 0.999 * counts)
+            times = min(need / chosen[int(i)], left, *((counts[j] - covered[j]) / n for j, n in chosen.items()))
+            if times <= 0:
+                continue
+            key = tuple(sorted(chosen.items()))
+            out[key] = out.get(key, 0.0) + times
+            for j, n in key:
+                covered[j] += n * times
+            left -= times
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 160, eta: float = 0.35) -> list[tuple[dict[int, int], int]]:
+def plan(histogram: dict[int, int], capacity: int, rounds: int = 80, eta: float = 1.0) -> list[tuple[dict[int, int], int]]:
     """[(filling {length: how many}, containers)] that holds every piece of the histogram."""
-    lengths = np.array(sorted(histogram, reverse=True), dtype=np.int64)
-    if not len(lengths):
-        return []
-    counts = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
-    unit = max(1, capacity // 1024)
-    weights = lengths / capacity
-    fillings: dict[tuple, float] = {}
-    covered = np.zeros(len(lengths))
-    total = float((lengths * counts).sum()) / capacity
-    for _ in range(rounds):
-        # lengths that are behind their share pay more
-        lag = 1.0 - covered / np.maximum(counts, 1)
-        prices = weights * np.exp(eta * 8 * (lag - lag.mean()))
-        chosen = best_filling(prices, lengths, counts, capacity, unit)
-        if not chosen:
-            break
-        times = max(1.0, min(min(counts[i] / n for i, n in chosen.items()) * 0.25, total / rounds * 2))
-        fillings[tuple(sorted(chosen.items()))] = fillings.get(tuple(sorted(chosen.items())), 0.0) + times
-        for i, n in chosen.items():
-            covered[i] += n * times
-    left = counts.copy()
-    out: list[tuple[dict[int, int], int]] = []
-    # the solution, scaled to cover no length more than once, rounded down
-    over = max(1.0, float(np.max(covered / counts)))
-    for chosen, times in sorted(fillings.items(), key=lambda x: -x[1]):
-        k = min([int(times / over), *(int(left[i] // n) for i, n in chosen)])
-        fill = sum(int(lengths[i]) * n for i, n in chosen)
-        if k > 0 and fill >= 0.97 * capacity:
-            out.append(({int(lengths[i]): n for i, n in chosen}, k))
-            for i, n in chosen:
-                left[i] -= n * k
-    return out + best_fit({int(x): int(c) for x, c in zip(lengths, left) if c}, capacity)
-
-
-def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best-fit decreasing over a histogram: each container takes the longest piece that still fits, again and again."""
-    lengths = sorted(histogram, reverse=True)
-    left = dict(histogram)
-    out: list[tuple[dict[int, int], int]] = []
-    import bisect
-
-    asc = sorted(left)
-    while asc:
-        room, used = capacity, {}
-        while True:
-            at = bisect.bisect_right(asc, room) - 1
-            while at >= 0 and left[asc[at]] - used.get(asc[at], 0) <= 0:
-                at -= 1
-            if at < 0:
-                break
-            x = asc[at]
-            n = min(left[x] - used.get(x, 0), room // x)
-            used[x] = used.get(x, 0) + n
-            room -= n * x
-        k = min(left[x] // n for x, n in used.items())
-        out.append((used, k))
-        for x, n in used.items():
-            left[x] -= n * k
-            if not left[x]:
-                asc.remove(x)
-    assert all(not left[x] for x in lengths)
+    left = {x: c for x, c in histogram.items() if c > 0 and x != capacity}
+    full = histogram.get(capacity, 0)
+    out: list[tuple[dict[int, int], int]] = [({capacity: 1}, full)] if full else []
+    while left:
+        lengths = np.array(sorted(left), dtype=np.int64)
+        counts = np.array([left[int(x)] for x in lengths], dtype=np.int64)
+        total = float((lengths * counts).sum()) / capacity
+        if total <= 1:
+            return [*out, ({int(x): int(c) for x, c in zip(lengths, counts)}, 1)]
+        found = fractional(lengths, counts, capacity, rounds if total > 60 else 6, eta)
+        fill = {k: sum(int(lengths[i]) * n for i, n in k) for k in found}
+        used = 0
+
+        def take(k: tuple[tuple[int, int], ...], times: int) -> None:
+            nonlocal used
+            times = min([times, *(int(counts[i] // n) for i, n in k)])
+            if times > 0:
+                out.append(({int(lengths[i]): n for i, n in k}, times))
+                used += times
+                for i, n in k:
+                    counts[i] -= n * times
+
+        # rounded down
+        for k in sorted(found, key=lambda k: (-found[k], k)):
+            if fill[k] >= (1 - WASTE) * capacity:
+                take(k, int(found[k]))
+        if used < 0.1 * total:
+            # the rest is all fractions: fillings of the longest pieces are rounded up, at least one of them
+            longest = sorted(found, key=lambda k: (-max(i for i, _ in k), -fill[k], -found[k], k))
+            for k in longest:
+                if fill[k] >= (1 - WASTE) * capacity:
+                    take(k, 1)
+            if not used:
+                take(longest[0], 1)
+        left = {int(x): int(c) for x, c in zip(lengths, counts) if c}
     return out
 
 
@@ -124,35 +148,32 @@ def pieces(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
 def packed(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     """(key, piece, n, container): each piece in its container of `capacity`.
 
-    Pieces of a length are numbered without gathering a length in one task: each (length, shard) is numbered by
-    itself and offset by the counts of the shards before it.
+    Pieces of a length are numbered without gathering a length in one task: each (length, shard) is numbered by itself
+    and offset by the counts of the shards before it. There are as many shards as the data need.
     """
     spark = sizes.sparkSession
-    shards = 64
-    p = pieces(sizes, key, size, capacity).withColumn("_shard", F.pmod(F.xxhash64("key", "piece"), F.lit(shards)).cast("int"))
-    counts = p.groupBy("n", "_shard").count()
-    held = counts.collect()  # at most capacity x shards rows
-    histogram: dict[int, int] = {}
-    for r in held:
-        histogram[r["n"]] = histogram.get(r["n"], 0) + r["count"]
-    before: dict[int, int] = {}
-    offsets = []
-    for r in sorted(held, key=lambda r: (r["n"], r["_shard"])):
-        offsets.append((r["n"], r["_shard"], before.get(r["n"], 0)))
-        before[r["n"]] = before.get(r["n"], 0) + r["count"]
+    p = pieces(sizes, key, size, capacity)
+    histogram = {r["n"]: r["count"] for r in p.groupBy("n").count().collect()}  # at most `capacity` rows
+    shards = max(1, -(-sum(histogram.values()) // SHARD))
+    p = p.withColumn("_shard", F.pmod(F.xxhash64("key", "piece"), F.lit(shards)).cast("int"))
+    before = Window.partitionBy("n").orderBy("_shard")
+    counts = p.groupBy("n", "_shard").agg(F.count("*").alias("_c"))
+    offsets = counts.select(
+        "n", "_shard", (F.sum("_c").over(before) - F.col("_c")).alias("_before"), (F.floor(F.sum("_c").over(Window.partitionBy("n")) / BLOCKS) + 1).alias("_size")
+    )
+    ranked = p.withColumn("_r", F.row_number().over(Window.partitionBy("n", "_shard").orderBy("key", "piece")).cast("long") - 1)
+    ranked = ranked.join(offsets, ["n", "_shard"]).withColumn("_rank", F.col("_r") + F.col("_before"))
     # ranges of ranks within a length that one filling uses: rank r of range [a, b) with n a container is in first + (r - a) // n
     used: dict[int, int] = {}
     first, ranges = 0, []
     for filling, times in plan(histogram, capacity):
         for x, n in filling.items():
             a = used.get(x, 0)
-            ranges.append((x, a, a + n * times, n, first))
+            ranges.append((x, histogram[x] // BLOCKS + 1, a, a + n * times, n, first))
             used[x] = a + n * times
         first += times
-    offs = spark.createDataFrame(offsets or [(0, 0, 0)], "n int, _shard int, _before long")
-    rng = spark.createDataFrame(ranges or [(0, 0, 0, 1, 0)], "n int, _a long, _b long, _each long, _first long")
-    by_length = rng.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("_a", "_b", "_each", "_first"))).alias("_ranges"))
-    ranked = p.withColumn("_r", F.row_number().over(Window.partitionBy("n", "_shard").orderBy("key", "piece")).cast("long") - 1)
-    ranked = ranked.join(F.broadcast(offs), ["n", "_shard"]).withColumn("_rank", F.col("_r") + F.col("_before"))
-    placed = ranked.join(F.broadcast(by_length), "n").withColumn("_at", F.filter("_ranges", lambda x: (x["_a"] <= F.col("_rank")) & (F.col("_rank") < x["_b"]))[0])
-    return placed.select(F.col("key").alias(key), "piece", "n", (F.col("_at._first") + F.floor((F.col("_rank") - F.col("_at._a")) / F.col("_at._each"))).cast("long").alias("container"))
+    rng = spark.createDataFrame(ranges, "n int, _size long, _a long, _b long, _each long, _first long")
+    # a range lies in each block of ranks that it touches; a piece meets the ranges of its own block only
+    blocks = rng.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_a") / F.col("_size")), F.floor((F.col("_b") - 1) / F.col("_size"))))).drop("_size")
+    placed = ranked.withColumn("_block", F.floor(F.col("_rank") / F.col("_size"))).join(blocks, ["n", "_block"]).where("_a <= _rank and _rank < _b")
+    return placed.select(F.col("key").alias(key), "piece", "n", (F.col("_first") + F.floor((F.col("_rank") - F.col("_a")) / F.col("_each"))).cast("long").alias("container"))

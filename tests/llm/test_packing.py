@@ -45,3 +45,41 @@ def test_rows(spark):
     assert whole == Counter({i: n for i, n in rows if n})
     assert all(r["piece"] == 0 for r in got if dict(rows)[r["doc_id"]] <= 10)
     assert K.packed(d.where("false"), "doc_id", "n_tokens", 10).count() == 0
+
+
+def test_more_lengths_than_any_cap_and_broken_units():
+    rnd = random.Random(7)
+    for capacity in (6146, 5000):
+        h = Counter({x: rnd.randint(1, 3) for x in rnd.sample(range(1, capacity + 1), 1500)})
+        lower = -(-sum(x * n for x, n in h.items()) // capacity)
+        assert check(dict(h), capacity) <= lower * 1.03 + 1
+    # no length is left unpriced: each of 600 lengths pairs with its complement
+    assert check({x: 1 for x in range(1, 1200) if x != 600}, 1200) <= 605
+
+
+def test_fractional_solutions_stay_within_the_counts():
+    import numpy as np
+
+    rnd = random.Random(8)
+    h = Counter(1 + int(rnd.expovariate(6 / 512)) % 511 for _ in range(5000))
+    lengths = np.array(sorted(h))
+    counts = np.array([h[int(x)] for x in lengths])
+    found = K.fractional(lengths, counts, 512, 80, 1.0)
+    covered = np.zeros(len(lengths))
+    for k, times in found.items():
+        assert sum(lengths[i] * n for i, n in k) <= 512
+        for i, n in k:
+            covered[i] += n * times
+    assert (covered <= counts + 1e-6).all() and (covered * lengths).sum() >= 0.9 * (counts * lengths).sum()
+
+
+def test_shards_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(K, "SHARD", 50)
+    monkeypatch.setattr(K, "BLOCKS", 3)
+    rnd = random.Random(9)
+    d = spark.createDataFrame([(i, 512 if i % 3 == 0 else rnd.randint(1, 60)) for i in range(900)], "doc_id long, n_tokens int")
+    got = K.packed(d, "doc_id", "n_tokens", 512).collect()
+    fill = Counter()
+    for r in got:
+        fill[r["container"]] += r["n"]
+    assert len({(r["doc_id"], r["piece"]) for r in got}) == len(got) == 900 and max(fill.values()) <= 512 and set(fill) == set(range(len(fill)))
