@@ -237,7 +237,7 @@ class Lexicon:
         lead: dict[tuple[str, str, int], tuple[int, int]] = {}
         best: dict[tuple[str, str, int], int] = {}
         most = (lambda n: 0 if n < 3 else 1) if masked else (lambda n: 0 if n < 6 else 1)
-        for start, end, (part, term, form), edits in self.trie.scan(f, most, starts):
+        for start, end, (part, term, form), edits in self.trie.scan(f, most, starts, first_stands=not masked):
             if edits and "○" not in f[start:end] and not (bound(form) and f[start] == form[0]):
                 continue
             key = (part, term, start // 2)

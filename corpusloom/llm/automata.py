@@ -18,6 +18,7 @@ class Trie:
     def __init__(self, entries: Iterable[tuple[str, Hashable]] = ()):
         self.next: list[dict[str, int]] = [{}]
         self.values: list[list[Hashable]] = [[]]
+        self._longest: list[int] = []
         for word, value in entries:
             self.add(word, value)
 
@@ -34,6 +35,7 @@ class Trie:
             node = step
         if value not in self.values[node]:
             self.values[node].append(value)
+            self._longest = []
 
     def exact(self, word: str) -> list[Hashable]:
         """Values of the entry that equals `word`."""
@@ -74,13 +76,27 @@ class Trie:
             stack += [(step, x, path + x, row, above, c) for x, step in self.next[node].items()]
         return found
 
-    def scan(self, text: str, bound_of, starts: Iterable[int] | None = None) -> list[tuple[int, int, Hashable, int]]:
+    def longest(self) -> list[int]:
+        """For each node the length of the longest entry through it; kept until the trie grows."""
+        if len(self._longest) != len(self.next):
+            out, order = [0] * len(self.next), [(0, 0)]
+            for node, depth in order:
+                order += [(step, depth + 1) for step in self.next[node].values()]
+            for node, depth in reversed(order):
+                out[node] = max([depth if self.values[node] else 0, *(out[step] for step in self.next[node].values())])
+            self._longest = out
+        return self._longest
+
+    def scan(self, text: str, bound_of, starts: Iterable[int] | None = None, first_stands: bool = False) -> list[tuple[int, int, Hashable, int]]:
         """(start, end, value, edits) of every entry met inside `text` within bound_of(entry length) edits, 0 or 1.
 
         From every start, or each of `starts`, the automaton's states (trie node, place in the text, edits) walk the
-        trie along the text.
+        trie along the text; an edit is tried only where an entry long enough for one lies ahead (bounds never fall
+        with length). With `first_stands` an entry's first letter is never the one edited.
         """
         out = []
+        longest = self.longest()
+        edit = [bound_of(n) > 0 for n in range(max(longest) + 1)]
         for at in range(len(text)) if starts is None else starts:
             stack, seen = [(0, at, 0, 0)], set()
             while stack:
@@ -92,11 +108,11 @@ class Trie:
                     out += [(at, pos, v, edits) for v in self.values[node]]
                 here = text[pos] if pos < len(text) else None
                 step = self.next[node].get(here) if here is not None else None
-                if step is not None:
+                if step is not None and (not edits or edit[longest[step]]):
                     stack.append((step, pos + 1, edits, depth + 1))
-                if edits == 0 and (node or depth == 0):
+                if edits == 0 and (node or (depth == 0 and not first_stands)) and edit[longest[node]]:
                     for x, other in self.next[node].items():
-                        if x != here:
+                        if x != here and edit[longest[other]]:
                             if node or here is not None:
                                 stack.append((other, pos, 1, depth + 1))  # left out
                             if here is not None:
