@@ -19,7 +19,8 @@ def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """refs(field, owner, key, at) against parents(field, key, begins, ends): one distinct row of refs for each reference
     without a parent row that lives at `at`, with `reason` missing, late (every row begins after `at`) or deleted.
     """
-    refs = refs.where(F.col("key").isNotNull()).distinct()
+    every = refs.where(F.col("key").isNotNull())
+    refs = every.distinct()
     lives = parents.where(F.col("key").isNotNull()).select("field", "key", "begins", "ends")
     known = lives.groupBy("field", "key").agg(
         F.min("begins").alias("_first"),
@@ -31,25 +32,33 @@ def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
         known.join(keys, ["field", "key"], "left_semi").select("field", "key", F.lit(False).alias("_absent"), F.col("_first").cast("timestamp_ntz"), F.col("_open").cast("timestamp_ntz"))
     )
     at = F.col("at").cast("timestamp_ntz")
-    judged = refs.join(status, ["field", "key"]).select(
-        "field", "owner", "key", "at",
-        F.when(F.col("_absent"), "missing")
-        .when(at.isNull(), "lives")
-        .when(F.col("_first").isNull() | (F.col("_first") > at), "late")
-        .when(F.col("_open") <= at, "lives")
-        .alias("reason"),
-    )
     month = lambda c: F.trunc(c.cast("date"), "month")
-    closed = (
+    judged = (
+        refs.join(status, ["field", "key"])
+        .select(
+            "field", "owner", "key", "at",
+            F.when(F.col("_absent"), "missing")
+            .when(at.isNull(), "lives")
+            .when(F.col("_first").isNull() | (F.col("_first") > at), "late")
+            .when(F.col("_open") <= at, "lives")
+            .alias("reason"),
+        )
+        .where("not reason <=> 'lives'")
+        .withColumn("_month", F.when(F.col("reason").isNull(), month(F.col("at"))))
+    )
+    # a life is opened into months no further than references reach, so an end in the far future costs nothing
+    low, high = (every.agg(f("at").cast("timestamp_ntz")).scalar() for f in (F.min, F.max))
+    lived = (
         lives.where("begins is not null and ends > begins")
+        .select("field", "key", F.col("begins").cast("timestamp_ntz").alias("begins"), F.col("ends").cast("timestamp_ntz").alias("ends"))
         .distinct()
-        .select("field", "key", "begins", "ends", F.explode(F.sequence(month(F.col("begins")), month(F.col("ends")), F.expr("interval 1 month"))).alias("_month"))
+        .where((F.col("begins") <= high) & (F.col("ends") > low))
+        .select("field", "key", "begins", "ends", F.explode(F.sequence(month(F.greatest("begins", low)), month(F.least("ends", high)), F.expr("interval 1 month"))).alias("_month"))
     )
-    undecided = judged.where("reason is null").withColumn("_month", month(F.col("at")))
-    alive = (undecided["at"].cast("timestamp_ntz") >= closed["begins"].cast("timestamp_ntz")) & (undecided["at"].cast("timestamp_ntz") < closed["ends"].cast("timestamp_ntz"))
-    same = (undecided["field"] == closed["field"]) & (undecided["key"] == closed["key"]) & (undecided["_month"] == closed["_month"])
-    deleted = undecided.join(closed, same & alive, "left_anti").select("field", "owner", "key", "at", F.lit("deleted").alias("reason"))
-    return judged.where("reason in ('missing', 'late')").unionByName(deleted)
+    # only the undecided ones carry a month; whatever meets no life there stays
+    alive = (judged["at"].cast("timestamp_ntz") >= lived["begins"]) & (judged["at"].cast("timestamp_ntz") < lived["ends"])
+    same = (judged["field"] == lived["field"]) & (judged["key"] == lived["key"]) & (judged["_month"] == lived["_month"])
+    return judged.join(lived, same & alive, "left_anti").select("field", "owner", "key", "at", F.coalesce("reason", F.lit("deleted")).alias("reason"))
 
 
 def orphan_counts(refs: DataFrame, parents: DataFrame) -> DataFrame:

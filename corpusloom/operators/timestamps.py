@@ -4,9 +4,10 @@ The written forms are one table of patterns; each rewrites a match to the same l
 JVM expressions. Wall-clock times then meet the zone-offset intervals of their zone: an as-of join by zone and month
 bucket. Two intervals that hold the local time mean it is ambiguous, none means it never occurred, one gives the offset.
 
-Defined results: null, empty, void or unparsable text gives null; days outside the calendar and years outside
-`years` are no date; rows repeat as they come in; other columns pass
-through untouched, whatever their names, but for older ones named moment, moment_kind and moment_from.
+Defined results: null, empty, void or unparsable text gives null, and so do days that are not in the calendar; a text
+whose year lies outside `years` counts only where no other text of the row holds a date, and then gives a null moment
+of the kind `outside`; rows repeat as they come in; other columns pass through untouched, whatever their names, but for
+older ones named moment, moment_kind and moment_from.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ ZONE_MINUTES = {
 _MON = r"([A-Za-z]{3})[a-z]*\.?"
 _WDAY = r"(?:[A-Za-z]{3,9},?\s+)?"
 _TIME = r"(\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:[.,]\d+)?)?"
-_ZONE = r"\s*\(?(Z|[A-Za-z]{2,4}T|UTC|[+-]\d{1,2}(?::?\d{2})?)?\)?"
+_NAMED = "|".join(sorted(ZONE_MINUTES, key=lambda z: (-len(z), z)))
+_ZONE = r"\s*\(?((?i:" + _NAMED + r")|[A-Za-z]{2,4}T|[+-]\d{1,2}(?::?\d{2})?)?\)?"
 _DAY = r"(?:\s*\([月火水木金土日]\))?"
 
 #: (pattern over the whole normalised text, template of era|year|month|day|order|hour|minute|second|am/pm|zone|epoch digits).
@@ -39,6 +41,7 @@ FORMS = [
     (r"(\d{4})(\d{2})(\d{2})", "|$1|$2|$3|||||||"),
     (r"(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})", "|$1|$2|$3||$4|$5|$6||Z|"),
     (r"(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})?(?:[.,]\d+)?" + _ZONE, "|$1|$2|$3||$4|$5|$6||$7|"),
+    (r"((?:19|20)\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])([01]\d|2[0-3])([0-5]\d)", "|$1|$2|$3||$4|$5||||"),
     (r"(\d{9,10}|\d{12,13}|\d{15,16})", "||||||||||$1"),
     (r"(\d{4})[-/.](\d{1,2})", "|$1|$2||||||||"),
     (r"(平成|[Hh])?\s*(\d{1,4}|元)([年./-])\s*(\d{1,2})(?:月|(?<![年])[./-])\s*(\d{1,2})日?" + _DAY + r"(?:\s*(午前|午後)?\s*(\d{1,2})(?:時|:)(?:(\d{1,2})分?)?(?::?(\d{1,2})秒?)?" + _ZONE + ")?", "$1|$2|$4|$5|e|$7|$8|$9|$6|$10|"),
@@ -47,7 +50,7 @@ FORMS = [
     (_MON + r"\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})(?:,?\s+" + _TIME + r"(?:\s*([AaPp][Mm]))?" + _ZONE + ")?", "|$3|$1|$2||$4|$5|$6|$7|$8|"),
     (_WDAY + r"(\d{1,2})[-\s/]" + _MON + r"[-\s/,]\s*(\d{4})(?:[:\s]\s*" + _TIME + r"(?:\s*([AaPp][Mm]))?" + _ZONE + ")?", "|$3|$2|$1||$4|$5|$6|$7|$8|"),
     (r"\[(\d{1,2})/" + _MON + r"/(\d{4}):" + _TIME + _ZONE + r"\]", "|$3|$2|$1||$4|$5|$6||$7|"),
-    (r"[A-Za-z]{3,9},?\s+" + _MON + r"\s+(\d{1,2})\s+" + _TIME + r"(?:\s+([A-Z]{2,4}T|UTC))?\s+(\d{4})", "|$7|$1|$2||$3|$4|$5||$6|"),
+    (r"[A-Za-z]{3,9},?\s+" + _MON + r"\s+(\d{1,2})\s+" + _TIME + r"(?:\s+([A-Z]{2,4}T|" + _NAMED + r"))?\s+(\d{4})", "|$7|$1|$2||$3|$4|$5||$6|"),
     (_MON + r",?\s+(\d{4})", "|$2|$1||||||||"),
 ]
 
@@ -125,28 +128,29 @@ def _full(n: Column) -> Column:
     )
 
 
-def parsed(n: Column, years: tuple[int, int] = (1997, 2015)) -> Column:
-    """struct<precision, written, local_s, offset_s> of full numbers; null if they make no date.
+def parsed(n: Column, years: tuple[int, int]) -> Column:
+    """struct<precision, written, local_s, offset_s, inside> of full numbers; null if they make no date.
 
     precision is month, day or time; local_s are the wall clock's seconds since 1970 read as if in UTC; offset_s is
-    null where no zone was written. Epoch counts have offset 0.
+    null where no zone was written; inside tells whether the year is one of `years`. Epoch counts have offset 0.
     """
     has_time = n["hour"].isNotNull()
     good_time = (n["hour"] <= 47) & (n["minute"] <= 59) & (n["second"] <= 60)
-    good = n["first"].isNotNull() & F.year(n["first"]).between(*years) & (~has_time | good_time) & ~(n["no_day"] & has_time) & (~n["has_zone"] | n["offset_s"].isNotNull())
+    good = n["first"].isNotNull() & (~has_time | good_time) & ~(n["no_day"] & has_time) & (~n["has_zone"] | n["offset_s"].isNotNull())
     wall = F.unix_date(n["first"]).cast("long") * 86400 + F.coalesce(n["hour"] * 3600 + n["minute"] * 60 + n["second"], F.lit(0))
-    counted = F.struct(F.lit("time").alias("precision"), F.lit(None).cast("string").alias("written"), n["epoch_s"].alias("local_s"), F.lit(0).cast("long").alias("offset_s"))
+    counted = F.struct(F.lit("time").alias("precision"), F.lit(None).cast("string").alias("written"), n["epoch_s"].alias("local_s"), F.lit(0).cast("long").alias("offset_s"), F.year(F.timestamp_seconds(n["epoch_s"])).between(*years).alias("inside"))
     dated = F.struct(
         F.when(has_time, "time").when(n["no_day"], "month").otherwise("day").alias("precision"),
         F.when(n["no_day"], F.date_format(n["first"], "yyyy-MM")).otherwise(F.date_format(n["first"], "yyyy-MM-dd")).alias("written"),
         wall.cast("long").alias("local_s"),
         n["offset_s"].alias("offset_s"),
+        F.year(n["first"]).between(*years).alias("inside"),
     )
     is_count = n["epoch_s"].isNotNull()
-    return F.when(is_count & F.year(F.timestamp_seconds(n["epoch_s"])).between(*years), counted).when(~is_count & good, dated)
+    return F.when(is_count, counted).when(good, dated)
 
 
-def zone_intervals(zones: DataFrame, zone: str, years: tuple[int, int] = (1997, 2015)) -> DataFrame:
+def zone_intervals(zones: DataFrame, zone: str, years: tuple[int, int]) -> DataFrame:
     """One row per zone and stretch of one offset: (zone, utc_from, utc_to, offset_s), seconds, from the JVM's zone rules.
 
     Days on whose ends the offset differs are opened into quarter hours, so every change is met exactly.
@@ -183,13 +187,14 @@ def normalised(
     texts: list[str],
     recorder: str,
     clocks: DataFrame,
-    years: tuple[int, int] = (1997, 2015),
+    years: tuple[int, int] = (1900, 2100),
 ) -> DataFrame:
     """`df` with `moment` (yyyy-MM, yyyy-MM-dd or yyyy-MM-ddTHH:mm:ssZ), `moment_kind` and `moment_from`.
 
     The first of `texts` that holds a date counts. moment_kind says how the zone was found: written, direct, ambiguous
-    (the earlier instant), nonexistent (the offset before the change), none (month or day only) or, without a known
-    recorder, null with a null moment. clocks has (recorder, zone, day_order), one row each; a null recorder has none.
+    (the earlier instant), nonexistent (the offset before the change), none (month or day only), outside (a date whose
+    year is not one of `years`, which also bound the table of offsets; a null moment) or, without a known recorder, null
+    with a null moment. clocks has (recorder, zone, day_order), one row each; a null recorder has none.
     """
     own = clocks.where(F.col("recorder").isNotNull()).groupBy("recorder").agg(F.min("zone").alias("_zone"), F.min("day_order").alias("_order"))
     stretches = measured(exploded_intervals(zone_intervals(own, "_zone", years)))
@@ -203,7 +208,7 @@ def normalised(
     each = F.transform(F.transform(each, fields), lambda f: numbers(f, F.col("_order")))
     each = F.transform(F.transform(each, _full), lambda n: parsed(n, years))
     d = d.withColumn("_each", each)
-    held = F.array_position(F.transform("_each", lambda p: p.isNotNull()), True).cast("int")
+    held = F.array_position(F.transform("_each", lambda p: F.coalesce(p["inside"], F.lit(False))), True).cast("int")
     d = d.withColumn("_held", F.nullif(held, F.lit(0)))
     d = d.withColumn("_p", F.try_element_at("_each", F.col("_held")))
     d = d.withColumn("moment_from", F.try_element_at(F.array(*[F.lit(t) for t in texts]), F.col("_held")))
@@ -222,5 +227,6 @@ def normalised(
         .when(F.size(inside) > 1, "ambiguous")
         .when(F.size(inside) == 1, "direct")
         .when(F.size(before) > 0, "nonexistent")
+        .when(F.col("_held").isNull() & F.exists("_each", lambda p: p.isNotNull()), "outside")
     )
     return d.withColumn("moment_kind", kind).select("_row.*", "moment", "moment_kind", "moment_from")

@@ -9,18 +9,21 @@ from corpusloom.operators import references, timestamps
 from corpusloom.operators.bounded import spread
 from corpusloom.sources.tables import table
 
+#: Years that a listing date of these tables can have.
+LISTED = (1997, 2015)
+
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listing moment of every episode that has one."""
     episodes = spread(table(spark, sf_dir, "episodes").select("entry_no", "date_raw", "date", "recorder"))
-    found = timestamps.normalised(episodes, ["date_raw", "date"], "recorder", table(spark, sf_dir, "clocks"))
+    found = timestamps.normalised(episodes, ["date_raw", "date"], "recorder", table(spark, sf_dir, "clocks"), LISTED)
     return found.where("moment is not null").select("entry_no", "moment")
 
 
 def p2_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the moments were found: episodes per recorder, source column and kind."""
     episodes = spread(table(spark, sf_dir, "episodes").select("date_raw", "date", "recorder"))
-    found = timestamps.normalised(episodes, ["date_raw", "date"], "recorder", table(spark, sf_dir, "clocks"))
+    found = timestamps.normalised(episodes, ["date_raw", "date"], "recorder", table(spark, sf_dir, "clocks"), LISTED)
     return found.groupBy("recorder", "moment_from", "moment_kind").agg(F.count("*").alias("episodes"))
 
 

@@ -41,3 +41,11 @@ def test_empty_tables(spark):
     assert R.orphans(none_r, none_p).count() == 0
     assert [r["reason"] for r in R.orphans(one, none_p).collect()] == ["missing"]
     assert R.orphan_counts(one, none_p).collect()[0]["orphan_pct"] == 100.0
+
+
+def test_ends_in_the_far_future(spark):
+    day = datetime(2024, 5, 1)
+    parents = [("a", "k1", datetime(1000, 1, 1), datetime(9999, 12, 31), "x"), ("a", "k2", datetime(2023, 1, 1), datetime(2024, 1, 1), "x")]
+    refs = [("a", "o", "k1", day, 1), ("a", "o", "k2", day, 1)]
+    d = R.orphans(spark.createDataFrame(refs, REFS).drop("extra"), spark.createDataFrame(parents, PARENTS))
+    assert {tuple(r) for r in d.collect()} == brute(refs, parents) == {("a", "o", "k2", day, "deleted")}

@@ -79,3 +79,22 @@ def test_intervals_agree_with_zoneinfo(spark, zone):
         for s in (r["utc_from"], r["utc_to"] - 1):
             assert datetime.fromtimestamp(s, timezone.utc).astimezone(ZoneInfo(zone)).utcoffset().total_seconds() == r["offset_s"]
     assert all(a["utc_to"] == b["utc_from"] for a, b in zip(rows, rows[1:]))
+
+
+def test_zone_names_and_twelve_digits(spark):
+    rows = [
+        ("tokyo", "Thu, 12 Apr 2007 12:06:18 MSK", None, "2007-04-12T09:06:18Z"), ("tokyo", "2007-04-12 12:06:18 UT", None, "2007-04-12T12:06:18Z"),
+        ("tokyo", "Fri Mar  8 11:43:03 MSK 2002", None, "2002-03-08T08:43:03Z"), ("tokyo", "200704121206", None, "2007-04-12T03:06:00Z"),
+        ("tokyo", "965761652123", None, "2000-08-08T19:07:32Z"), ("tokyo", "2007-04-12 12:06:18 QQT", None, None),
+    ]
+    got = {r["date_raw"]: r["moment"] for r in run(spark, rows).collect()}
+    assert got == {r[1]: r[3] for r in rows}
+
+
+def test_years_outside(spark):
+    clocks = spark.createDataFrame(CLOCKS, "recorder string, zone string, day_order string")
+    df = spark.createDataFrame([("tokyo", "1985-03-04 05:06:07", None), ("tokyo", "1985-03-04", "2001-02-03"), ("tokyo", "1985-03", ""), ("tokyo", "?", None)], "recorder string, date_raw string, date string")
+    wide = {(r["date_raw"], r["moment"], r["moment_kind"]) for r in T.normalised(df, ["date_raw", "date"], "recorder", clocks).collect()}
+    assert wide == {("1985-03-04 05:06:07", "1985-03-03T20:06:07Z", "direct"), ("1985-03-04", "1985-03-04", "none"), ("1985-03", "1985-03", "none"), ("?", None, None)}
+    close = {(r["date_raw"], r["moment"], r["moment_kind"], r["moment_from"]) for r in T.normalised(df, ["date_raw", "date"], "recorder", clocks, (1997, 2015)).collect()}
+    assert close == {("1985-03-04 05:06:07", None, "outside", None), ("1985-03-04", "2001-02-03", "none", "date"), ("1985-03", None, "outside", None), ("?", None, None, None)}
