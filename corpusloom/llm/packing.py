@@ -78,13 +78,14 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
     out: dict[tuple[tuple[int, int], ...], float] = {}
     for r in range(1, rounds + 1):
         lag = r / rounds - covered / counts
-        knapsack.solve(weights * np.exp(eta * (lag - lag.mean())))
+        open_ = covered < 0.999 * counts
+        knapsack.solve(np.where(open_, weights * np.exp(eta * (lag - lag.mean())), -1.0))
         left = share
         for i in np.argsort(-lag * weights, kind="stable"):
             need = r / rounds * counts[i] - covered[i]
             if left <= 0 or need <= 0:
                 continue
-            chosen = knapsack.filling(int(i), counts, covered < 0.999 * counts)
+            chosen = knapsack.filling(int(i), counts, open_)
             times = min(need / chosen[int(i)], left, *((counts[j] - covered[j]) / n for j, n in chosen.items()))
             if times <= 0:
                 continue
@@ -92,11 +93,12 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
             out[key] = out.get(key, 0.0) + times
             for j, n in key:
                 covered[j] += n * times
+                open_[j] = covered[j] < 0.999 * counts[j]
             left -= times
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 80, eta: float = 1.0) -> list[tuple[dict[int, int], int]]:
+def plan(histogram: dict[int, int], capacity: int, eta: float = 1.0) -> list[tuple[dict[int, int], int]]:
     """[(filling {length: how many}, containers)] that holds every piece of the histogram."""
     left = {x: c for x, c in histogram.items() if c > 0 and x != capacity}
     full = histogram.get(capacity, 0)
@@ -107,7 +109,9 @@ def plan(histogram: dict[int, int], capacity: int, rounds: int = 80, eta: float
         total = float((lengths * counts).sum()) / capacity
         if total <= 1:
             return [*out, ({int(x): int(c) for x, c in zip(lengths, counts)}, 1)]
-        found = fractional(lengths, counts, capacity, rounds if total > 60 else 6, eta)
+        # thousands of lengths share a round's table, so they need fewer rounds
+        rounds = 6 if total <= 60 else 80 if len(lengths) <= 3000 else 40
+        found = fractional(lengths, counts, capacity, rounds, eta)
         fill = {k: sum(int(lengths[i]) * n for i, n in k) for k in found}
         used = 0
 
@@ -120,10 +124,12 @@ def plan(histogram: dict[int, int], capacity: int, rounds: int = 80, eta: float
                 for i, n in k:
                     counts[i] -= n * times
 
-        # rounded down
-        for k in sorted(found, key=lambda k: (-found[k], k)):
-            if fill[k] >= (1 - WASTE) * capacity:
-                take(k, int(found[k]))
+        # rounded down, full fillings alone while they make a good part of what is left
+        for least in ((1 - WASTE) * capacity, 0):
+            if used < 0.1 * total:
+                for k in sorted(found, key=lambda k: (-found[k], k)):
+                    if fill[k] >= least:
+                        take(k, int(found[k]))
         if used < 0.1 * total:
             # the rest is all fractions: fillings of the longest pieces are rounded up, at least one of them
             longest = sorted(found, key=lambda k: (-max(i for i, _ in k), -fill[k], -found[k], k))
