@@ -24,69 +24,71 @@ from pyspark.sql import functions as F
 SHARD, BLOCKS = 50_000, 1024
 #: A filling is taken at its fractional count if it leaves no more than this share of the container.
 WASTE = 0.02
+#: Room of a container in the program; longer containers count in units of several tokens, lengths rounded up.
+ROOM = 2048
 
 
 class Knapsack:
-    """The dynamic program over a container's room. Lengths ascend and count in units, rounded up, so a filling fits."""
+    """The dynamic program over a container's room; all arrays go by length."""
 
-    def __init__(self, lengths: np.ndarray, capacity: int, unit: int) -> None:
-        self.sizes = -(-lengths // unit)
-        # a length that fills the last, broken unit goes alone
-        self.whole = capacity // unit
-        self.room = max(self.whole, int(self.sizes.max()))
-        self.fitting = np.searchsorted(self.sizes, np.arange(self.room + 1), side="right")
+    def __init__(self, room: int) -> None:
+        self.room = room
 
     def solve(self, prices: np.ndarray) -> None:
-        """Fills the table: the best pay for each room, and the length to take there (-1: leave a unit)."""
-        self.prices, self.pay, self.take = prices, np.zeros(self.room + 1), np.full(self.room + 1, -1)
+        """Fills the table: the best pay for each room, and the length to take there (0: leave a place empty)."""
+        pay, take = np.zeros(self.room + 1), [0] * (self.room + 1)
         for c in range(1, self.room + 1):
-            self.pay[c] = self.pay[c - 1]
-            k = self.fitting[c]
-            if k:
-                offers = self.pay[c - self.sizes[:k]] + prices[:k]
-                j = int(offers.argmax())
-                if offers[j] > self.pay[c] + 1e-12:
-                    self.pay[c], self.take[c] = offers[j], j
+            offers = prices[1 : c + 1] + pay[c - 1 :: -1] if c > 1 else prices[1:2] + pay[0]
+            j = int(offers.argmax())
+            if offers[j] > pay[c - 1] + 1e-12:
+                pay[c], take[c] = offers[j], j + 1
+            else:
+                pay[c] = pay[c - 1]
+        self.prices, self.pay, self.take = prices, pay, take
 
     def filling(self, first: int, counts: np.ndarray, open_: np.ndarray) -> dict[int, int]:
-        """{index of length: how many} that begins with `first` and goes on along the table, within the counts."""
-        out, c = {first: 1}, self.whole - int(self.sizes[first])
+        """{length: how many} that begins with `first` and goes on along the table, within the counts."""
+        out, c, take = {first: 1}, self.room - first, self.take
         while c > 0:
-            j = int(self.take[c])
-            if j < 0:
+            j = take[c]
+            if not j:
                 c -= 1
                 continue
-            if out.get(j, 0) >= counts[j] or not open_[j]:
-                k = self.fitting[c]
-                offers = np.where(open_[:k], self.pay[c - self.sizes[:k]] + self.prices[:k], -1.0)
-                for i, n in out.items():
-                    if i < k and n >= counts[i]:
-                        offers[i] = -1.0
-                j = int(offers.argmax())
-                if offers[j] <= 0:
+            if not open_[j] or out.get(j, 0) >= counts[j]:
+                offers = np.where(open_[1 : c + 1], self.prices[1 : c + 1] + self.pay[c - 1 :: -1] if c > 1 else self.prices[1:2] + self.pay[0], -1.0)
+                for x, n in out.items():
+                    if x <= c and n >= counts[x]:
+                        offers[x - 1] = -1.0
+                j = int(offers.argmax()) + 1
+                if offers[j - 1] <= 0:
                     break
             out[j] = out.get(j, 0) + 1
-            c -= int(self.sizes[j])
+            c -= j
         return out
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, eta: float) -> dict[tuple[tuple[int, int], ...], float]:
-    """{filling: how often}, a solution of the program that covers no length more often than it occurs."""
-    knapsack = Knapsack(lengths, capacity, max(1, capacity // 2048))
-    weights, covered = lengths / capacity, np.zeros(len(lengths))
-    share = float((lengths * counts).sum()) / capacity / rounds
+def fractional(counts: np.ndarray, rounds: int, eta: float) -> dict[tuple[tuple[int, int], ...], float]:
+    """{filling: how often} for counts by length, a solution of the program that covers no length more often than it occurs."""
+    room = len(counts) - 1
+    knapsack = Knapsack(room)
+    held = counts > 0
+    lengths = np.arange(room + 1)
+    weights, covered, at_least = lengths / room, np.zeros(room + 1), np.maximum(counts, 1)
+    share = float((lengths * counts).sum()) / room / rounds
+    open_ = held.copy()
     out: dict[tuple[tuple[int, int], ...], float] = {}
     for r in range(1, rounds + 1):
-        lag = r / rounds - covered / counts
-        open_ = covered < 0.999 * counts
-        knapsack.solve(np.where(open_, weights * np.exp(eta * (lag - lag.mean())), -1.0))
+        lag = r / rounds - covered / at_least
+        knapsack.solve(np.where(open_, weights * np.exp(eta * (lag - lag[held].mean())), -1.0))
         left = share
-        for i in np.argsort(-lag * weights, kind="stable"):
-            need = r / rounds * counts[i] - covered[i]
-            if left <= 0 or need <= 0:
+        for x in np.argsort(np.where(held, -lag * weights, np.inf), kind="stable"):
+            if left <= 0 or not held[x]:
+                break
+            need = r / rounds * counts[x] - covered[x]
+            if need <= 0:
                 continue
-            chosen = knapsack.filling(int(i), counts, open_)
-            times = min(need / chosen[int(i)], left, *((counts[j] - covered[j]) / n for j, n in chosen.items()))
+            chosen = knapsack.filling(int(x), counts, open_)
+            times = min(need / chosen[int(x)], left, *((counts[j] - covered[j]) / n for j, n in chosen.items()))
             if times <= 0:
                 continue
             key = tuple(sorted(chosen.items()))
@@ -100,29 +102,30 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
 
 def plan(histogram: dict[int, int], capacity: int, eta: float = 1.0) -> list[tuple[dict[int, int], int]]:
     """[(filling {length: how many}, containers)] that holds every piece of the histogram."""
-    left = {x: c for x, c in histogram.items() if c > 0 and x != capacity}
+    unit = -(-capacity // ROOM)
+    if unit > 1:
+        return _in_units(histogram, capacity, unit, eta)
     full = histogram.get(capacity, 0)
     out: list[tuple[dict[int, int], int]] = [({capacity: 1}, full)] if full else []
-    while left:
-        lengths = np.array(sorted(left), dtype=np.int64)
-        counts = np.array([left[int(x)] for x in lengths], dtype=np.int64)
-        total = float((lengths * counts).sum()) / capacity
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    for x, c in histogram.items():
+        counts[x] = c if x != capacity else 0
+    while counts.any():
+        total = float((np.arange(capacity + 1) * counts).sum()) / capacity
         if total <= 1:
-            return [*out, ({int(x): int(c) for x, c in zip(lengths, counts)}, 1)]
-        # thousands of lengths share a round's table, so they need fewer rounds
-        rounds = 6 if total <= 60 else 80 if len(lengths) <= 3000 else 40
-        found = fractional(lengths, counts, capacity, rounds, eta)
-        fill = {k: sum(int(lengths[i]) * n for i, n in k) for k in found}
+            return [*out, ({int(x): int(counts[x]) for x in counts.nonzero()[0]}, 1)]
+        found = fractional(counts, 80 if total > 60 else 6, eta)
+        fill = {k: sum(x * n for x, n in k) for k in found}
         used = 0
 
         def take(k: tuple[tuple[int, int], ...], times: int) -> None:
             nonlocal used
-            times = min([times, *(int(counts[i] // n) for i, n in k)])
+            times = min([times, *(int(counts[x] // n) for x, n in k)])
             if times > 0:
-                out.append(({int(lengths[i]): n for i, n in k}, times))
+                out.append((dict(k), times))
                 used += times
-                for i, n in k:
-                    counts[i] -= n * times
+                for x, n in k:
+                    counts[x] -= n * times
 
         # rounded down, full fillings alone while they make a good part of what is left
         for least in ((1 - WASTE) * capacity, 0):
@@ -132,13 +135,40 @@ def plan(histogram: dict[int, int], capacity: int, eta: float = 1.0) -> list[tup
                         take(k, int(found[k]))
         if used < 0.1 * total:
             # the rest is all fractions: fillings of the longest pieces are rounded up, at least one of them
-            longest = sorted(found, key=lambda k: (-max(i for i, _ in k), -fill[k], -found[k], k))
+            longest = sorted(found, key=lambda k: (-max(x for x, _ in k), -fill[k], -found[k], k))
             for k in longest:
                 if fill[k] >= (1 - WASTE) * capacity:
                     take(k, 1)
             if not used:
                 take(longest[0], 1)
-        left = {int(x): int(c) for x, c in zip(lengths, counts) if c}
+    return out
+
+
+def _in_units(histogram: dict[int, int], capacity: int, unit: int, eta: float) -> list[tuple[dict[int, int], int]]:
+    """A plan over lengths in units, each of its places given to the real lengths of that many units in turn."""
+    room = capacity // unit
+    held: dict[int, list[list[int]]] = {}
+    # a length that needs a broken last unit goes alone, as one of all units does
+    for x in sorted(histogram):
+        held.setdefault(min(-(-x // unit), room), []).append([x, histogram[x]])
+    out: list[tuple[dict[int, int], int]] = []
+    for filling, times in plan({size: sum(c for _, c in rows) for size, rows in held.items()}, room, eta):
+        while times > 0:
+            # as many containers as go with one real length for each place, else one container of several
+            run = min([times, *(held[size][-1][1] // n for size, n in filling.items())])
+            real: dict[int, int] = {}
+            for size, n in filling.items():
+                need = n * max(run, 1)
+                while need:
+                    x, c = held[size][-1]
+                    got = min(c, need)
+                    real[x] = real.get(x, 0) + (n if run else got)
+                    need -= got
+                    held[size][-1][1] -= got
+                    if held[size][-1][1] == 0:
+                        held[size].pop()
+            out.append((real, max(run, 1)))
+            times -= max(run, 1)
     return out
 
 
