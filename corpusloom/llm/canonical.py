@@ -13,13 +13,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import deque
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.automata import Trie
+from corpusloom.operators.bounded import checkpointed, measured
 
 # What people put around a typed value, and colloquial words for entries (extra aliases by slug).
 HEDGES = ["やや", "一応", "軽めの", "ほぼ", "たぶん", "多分", "おそらく", "ちょっと", "基本"]
@@ -30,7 +32,7 @@ EXTRA = {
     "legacy": ["旧lib"], "teahouse": ["茶店"], "romance": ["love story"], "mystery": ["探偵もの"], "horror": ["怪奇"], "workplace": ["office"],
     "history": ["史劇"], "theatre": ["playhouse"], "timeslip": ["time travel"], "suspense": ["スリラー"], "fantasy": ["異世界もの", "異世界"],
 }
-#: Largest reference list that is held in every worker.
+#: Largest reference list, or shard of one, that is held in a worker.
 LIST_ROWS = 200_000
 
 _KANA = {
@@ -106,41 +108,48 @@ _NUMBER = re.compile(r"^\s*\d{1,2}[.)、]\s*")
 _ENDINGS = sorted({hiragana(e) for e in ENDINGS}, key=len, reverse=True)
 
 
+#: Values longer than this lose repeated trimmings of one kind at once, shorter ones one at a time.
+LONG = 400
+
+
+def _trimmings():
+    """Functions that each take one kind of trimming off a text, or give it back as it is."""
+    yield lambda x: x.strip().strip(_EDGE).strip()
+    yield lambda x: x[1:-1].strip() if len(x) > 1 and x[0] in _OPEN and x[-1] in _CLOSE else x
+    yield lambda x: x[1:].strip() if x and x[0] in _OPEN and x[-1] not in _CLOSE else x
+    yield lambda x: x[:-1].strip() if x and x[-1] in _CLOSE and x[0] not in _OPEN and not any(c in x for c in "(（") else x
+    for pattern in (_NOTE, _PART, _NUMBER):
+        yield lambda x, p=pattern: p.sub("", x).strip()
+    solid = lambda x: re.sub(r"[\s・]", "", x)
+    for pattern in (_NOTE, _PART):
+        yield lambda x, p=pattern: y if (y := p.sub("", s := solid(x))) != s else x
+    for h in HEDGES:
+        yield lambda x, h=h: s[len(h) :] if (s := solid(x)).startswith(h) else x
+    for e in _ENDINGS:
+        yield lambda x, e=e: s[: -len(e)] if (s := solid(x)).endswith(e) and len(s) > len(e) else x
+
+
+_TRIMMINGS = list(_trimmings())
+
+
 def stripped(text: str) -> list[str]:
-    """The value and what is left of it as its trimmings come off, one at a time, in folded form."""
+    """The value and what is left of it as its trimmings come off, one at a time, in folded form.
+
+    Each step shortens the text and no text is taken up twice, so the steps come to an end by themselves.
+    """
     s = hiragana(unicodedata.normalize("NFKC", text))
     s = "".join(c for c in s if unicodedata.category(c) != "Cf").strip()
-    out, todo = [], [s]
+    out, todo = dict.fromkeys([s] if s else []), deque([s] if s else [])
     while todo:
-        x = todo.pop(0)
-        if x in out or not x or len(out) > 40:
-            continue
-        out.append(x)
-        y = x.strip().strip(_EDGE).strip()
-        if y != x:
-            todo.append(y)
-        if len(x) > 1 and x[0] in _OPEN and x[-1] in _CLOSE:
-            todo.append(x[1:-1].strip())
-        elif x[0] in _OPEN:
-            todo.append(x[1:].strip())
-        elif x[-1] in _CLOSE and not any(c in x for c in "(（"):
-            todo.append(x[:-1].strip())
-        for pattern in (_NOTE, _PART, _NUMBER):
-            y = pattern.sub("", x).strip()
-            if y != x:
-                todo.append(y)
-        solid = re.sub(r"[\s・]", "", x)
-        for pattern in (_NOTE, _PART):
-            y = pattern.sub("", solid)
-            if y != solid:
+        x = todo.popleft()
+        for trim in _TRIMMINGS:
+            y = trim(x)
+            while len(y) > LONG and (z := trim(y)) != y:
+                y = z
+            if y and y not in out:
+                out[y] = None
                 todo.append(y)
-        for h in HEDGES:
-            if solid.startswith(h):
-                todo.append(solid[len(h) :])
-        for e in _ENDINGS:
-            if solid.endswith(e) and len(solid) > len(e):
-                todo.append(solid[: -len(e)])
-    return list(dict.fromkeys(f for f in (folded(x) for x in out) if f))
+    return list(dict.fromkeys(f for f in map(folded, out) if f))
 
 
 def bound(entry: str) -> int:
@@ -189,34 +198,25 @@ def aliases(slug: str, name: str, reading: str | None, variants, description: st
 
 
 @lru_cache(maxsize=4)
-def _tries(rows: tuple) -> tuple[dict[str, Trie], dict[tuple, str | None]]:
-    """A trie for each taxonomy, and the worker's memory of values it has mapped."""
+def _tries(rows: tuple) -> dict[str, Trie]:
+    """A trie for each taxonomy."""
     out: dict[str, Trie] = {}
     for taxonomy, slug, name, reading, variants, description in rows:
         trie = out.setdefault(taxonomy, Trie())
         for a in aliases(slug, name, reading, variants, description):
             if folded(a):
                 trie.add(folded(a), slug)
-    return out, {}
+    return out
 
 
-def closest(value: str | None, trie: Trie | None) -> str | None:
-    """The slug meant by a typed value, `none` without one, null for null and blank values."""
-    if value is None or not value.strip():
-        return None
-    if trie is None:
-        return "none"
+def nearest(value: str, trie: Trie) -> tuple[tuple[int, int], set[str]] | None:
+    """((edits, trimmings taken off), slugs) of the entries nearest to a typed value; an exact one ends the search."""
     best: tuple[int, int] | None = None
     slugs: set[str] = set()
     for step, text in enumerate(stripped(value)):
-        for slug in trie.exact(text):
-            if best is None or (0, 0) < best or best == (0, 0):
-                if best != (0, 0):
-                    slugs = set()
-                best = (0, 0)
-                slugs.add(slug)
-        if best == (0, 0):
-            break
+        exact = trie.exact(text)
+        if exact:
+            return (0, step), set(exact)
         for entry, slug, d in trie.within(text, reach(len(text))):
             if d > bound(entry) or not _plausible(entry, text, d):
                 continue
@@ -225,45 +225,87 @@ def closest(value: str | None, trie: Trie | None) -> str | None:
                 best, slugs = rank, {slug}
             elif rank == best:
                 slugs.add(slug)
-    return slugs.pop() if len(slugs) == 1 else "none"
+    return None if best is None else (best, slugs)
+
+
+def closest(value: str | None, trie: Trie | None) -> str | None:
+    """The slug meant by a typed value, `none` without one, null for null and blank values."""
+    if value is None or not value.strip():
+        return None
+    found = nearest(value, trie) if trie is not None else None
+    return found[1].pop() if found and len(found[1]) == 1 else "none"
 
 
-def mapped(vocabulary: DataFrame, taxonomy: Column, value: Column) -> Column:
-    """The slug for each value of a taxonomy; the reference list, at most LIST_ROWS rows, goes to every worker."""
-    rows = vocabulary.select("taxonomy", "slug", "name", "yomi", "lookup_variants", "description").distinct().limit(LIST_ROWS + 1).collect()
+def _held(rows) -> tuple:
+    return tuple(sorted((r["taxonomy"], r["slug"], r["name"] or "", r["yomi"], tuple(x for x in (r["lookup_variants"] if r["lookup_variants"] is not None else ()) if x), r["description"]) for r in rows if r["taxonomy"] and r["slug"]))
+
+
+def mapped(vocabulary: DataFrame, values: DataFrame) -> DataFrame:
+    """(taxonomy, raw, slug) for the distinct values(taxonomy, raw).
+
+    A reference list of up to LIST_ROWS rows goes to every worker; a larger one is dealt into shards (see `sharded`).
+    """
+    listed = vocabulary.select("taxonomy", "slug", "name", "yomi", "lookup_variants", "description").distinct()
+    rows = listed.limit(LIST_ROWS + 1).collect()
     if len(rows) > LIST_ROWS:
-        raise ValueError(f"the reference list has more than {LIST_ROWS} rows")
-    held = tuple(sorted((r[0], r[1], r[2] or "", r[3], tuple(x for x in r[4] or () if x), r[5]) for r in rows if r[0] and r[1]))
+        return sharded(listed, values)
+    held = _held(rows)
 
     @F.pandas_udf("string")
     def run(taxonomies: pd.Series, values: pd.Series) -> pd.Series:
-        tries, known = _tries(held)
-        if len(known) > 200_000:
-            known.clear()
-        out = []
-        for t, v in zip(taxonomies, values):
-            if (t, v) not in known:
-                known[t, v] = closest(v, tries.get(t))
-            out.append(known[t, v])
-        return pd.Series(out, dtype=object)
+        tries = _tries(held)
+        return pd.Series([closest(v, tries.get(t)) for t, v in zip(taxonomies, values)], dtype=object)
 
-    return run(taxonomy, value)
+    return values.select("taxonomy", "raw", run("taxonomy", "raw").alias("slug"))
 
 
-def typed_values(terms: DataFrame, episodes: DataFrame, partitions: int) -> DataFrame:
+def sharded(listed: DataFrame, values: DataFrame) -> DataFrame:
+    """The same for a reference list of any size: shards of it, each a trie, meet the values of their taxonomy in blocks.
+
+    Every shard gives its nearest entries with their rank; the best rank over all shards decides, so the result is the
+    one that a single trie would give.
+    """
+    shards = -(-listed.count() // LIST_ROWS)
+    blocks = -(-values.count() // LIST_ROWS)
+    deal = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(max(n, 1))).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
+    entries = listed.where("taxonomy is not null and slug is not null").withColumn("_shard", deal(shards, "slug")).withColumn("_block", each(blocks))
+    asked = values.select("taxonomy", "raw").withColumn("_block", deal(blocks, "raw")).withColumn("_shard", each(shards))
+    by = ["taxonomy", "_shard", "_block"]
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            trie = next(iter(_tries(_held(left.to_dict("records"))).values()))
+            for t, raw in zip(right["taxonomy"], right["raw"]):
+                found = nearest(raw, trie) if isinstance(raw, str) and raw.strip() else None
+                out += [(t, raw, *found[0], slug) for slug in found[1]] if found else []
+        return pd.DataFrame(out, columns=["taxonomy", "raw", "edits", "step", "slug"])
+
+    hits = entries.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(search, "taxonomy string, raw string, edits int, step int, slug string")
+    ranked = hits.groupBy("taxonomy", "raw", "edits", "step").agg(F.min("slug").alias("lo"), F.max("slug").alias("hi"))
+    best = ranked.groupBy("taxonomy", "raw").agg(F.min(F.struct("edits", "step", "lo", "hi")).alias("b"))
+    both = values.select("taxonomy", "raw").join(best, ["taxonomy", "raw"], "left")
+    blank = F.col("raw").isNull() | ~F.col("raw").rlike(r"(?U)\S")
+    return both.select("taxonomy", "raw", F.when(~blank, F.when(F.col("b.lo") == F.col("b.hi"), F.col("b.lo")).otherwise("none")).alias("slug"))
+
+
+def typed_values(terms: DataFrame, episodes: DataFrame) -> DataFrame:
     """(field, row_no, taxonomy, raw): each distinct non-blank value of a row of terms and episodes."""
     listed = terms.select(F.lit("raw_variants").alias("field"), F.col("term_no").alias("row_no"), "taxonomy", F.explode(F.array_distinct("raw_variants")).alias("raw"))
     single = episodes.select(F.lit("corpus").alias("field"), F.col("entry_no").alias("row_no"), F.lit("ts_corpus").alias("taxonomy"), F.col("corpus").alias("raw"))
-    return listed.unionByName(single).where(F.col("raw").rlike(r"(?U)\S")).repartition(partitions, "field", "row_no", "taxonomy", "raw").distinct()
+    return listed.unionByName(single).where(F.col("raw").rlike(r"(?U)\S")).distinct()
 
 
 def found(terms: DataFrame, episodes: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(field, row_no, raw, slug) of every typed value that is not exactly a slug or name of its taxonomy."""
-    from corpusloom.operators.bounded import measured
+    """(field, row_no, raw, slug) of every typed value that is not exactly a slug or name of its taxonomy.
 
+    Each distinct value is mapped once and joined back to its rows.
+    """
     exact = measured(vocabulary.select("taxonomy", F.explode(F.array("slug", "name")).alias("raw")).where("raw is not null").distinct())
-    # a fixed number of partitions serves distinct and keeps the mapping in Python spread over the cores
-    cores = terms.sparkSession.sparkContext.defaultParallelism
-    shuffles = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    typed = typed_values(terms, episodes, max(cores, shuffles)).join(exact, ["taxonomy", "raw"], "left_anti")
-    return typed.select("field", "row_no", "raw", mapped(vocabulary, F.col("taxonomy"), F.col("raw")).alias("slug")).distinct()
+    typed = typed_values(terms, episodes).join(exact, ["taxonomy", "raw"], "left_anti")
+    # one kind of value a row, so a value that many rows hold is one row here; dealt out for the work in Python
+    spark = terms.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    values = checkpointed(mapped(vocabulary, typed.select("taxonomy", "raw").repartition(parts, "taxonomy", "raw").distinct()))
+    return typed.join(values, typed["taxonomy"].eqNullSafe(values["taxonomy"]) & (typed["raw"] == values["raw"])).select("field", "row_no", typed["raw"], "slug")

@@ -4,8 +4,8 @@ Every slug gets the written forms known for it: itself and its row's names. Form
 letters with the spelling systems for Japanese folded together, ideographs with old forms folded, mixed spellings as
 reading and ideographs, and weaker ones (one part of a name, initials, first ideographs, nicknames). Latin keys meet
 within a bounded edit distance by a pigeonhole join: the known key is cut into k + 1 segments, the typed key's
-substrings at shifted places, also with an exchange at their borders undone, are looked up in the inverted index of
-segments, and a banded edit distance decides.
+substrings at the shifted places that k edits allow, also with an exchange at their border undone, are looked up in the
+inverted index of segments, and a banded edit distance decides.
 
 Slugs of confirmed records are persons. Another slug joins the person for whom its evidence is strongest, if that is
 enough and no other person has as much. Slugs without a person are linked among themselves by equal and close keys.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.canonical import hiragana, romaji
-from corpusloom.operators.bounded import checkpointed
+from corpusloom.operators.bounded import checkpointed, spread
 from corpusloom.operators.graph import components
 
 # Names that stand for nobody, what is put around names, old and variant forms of ideographs.
@@ -254,25 +254,28 @@ def index_keys(key: str) -> list[str]:
 
 
 def probe_keys(key: str) -> list[str]:
-    """What a typed key looks up: for each length within reach, its substrings at shifted places of each segment.
+    """What a typed key looks up: for each length within reach, its substrings at the shifted places of each segment.
 
-    An exchange across a segment's border would spoil two segments, so each substring is also looked up with its first
-    letter from before it or its last from after it; then every edit spoils one segment at most.
+    Take the edits of each segment, an exchange across a border with the segment on its left. Walking from the left, the
+    first segment that makes the edits so far fewer than the segments so far is untouched itself, has exactly as many
+    edits as segments before it and so at most k less that many behind it. These two bounds limit where it can stand;
+    only its first letter may be exchanged with the one before it, so that substring is looked up, too. No pair within
+    k edits is lost.
     """
     out = set()
     for n in range(len(key) - 2, len(key) + 3):
-        k = bound(max(n, len(key)))
-        if not k or abs(n - len(key)) > k:
+        k, over = bound(max(n, len(key))), len(key) - n
+        if not k or abs(over) > k:
             continue
         for i, at, text in segments("?" * n, k):
             size = len(text)
-            for start in range(max(0, at - k), min(len(key) - size, at + k) + 1):
-                end = start + size
+            for shift in range(max(-i, over - (k - i)), min(i, over + (k - i)) + 1):
+                start, end = at + shift, at + shift + size
+                if start < 0 or end > len(key):
+                    continue
                 out.add(f"{n}|{k}|{i}|{key[start:end]}")
                 if start > 0:
                     out.add(f"{n}|{k}|{i}|{key[start - 1]}{key[start + 1 : end]}")
-                if end < len(key):
-                    out.add(f"{n}|{k}|{i}|{key[start : end - 1]}{key[end]}")
     return sorted(out)
 
 
@@ -322,14 +325,25 @@ def _person_keys(slugs: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _index(keys: pd.Series) -> pd.Series:
-    return keys.map(index_keys)
+_SEGMENTS = T.StructType([T.StructField("letters", T.LongType()), T.StructField("segments", T.ArrayType(T.StringType()))])
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _probes(keys: pd.Series) -> pd.Series:
-    return keys.map(probe_keys)
+def letter_set(key: str) -> int:
+    """The letters of a key as bits; an edit changes two of them at most."""
+    out = 0
+    for c in key:
+        out |= 1 << (ord(c) % 61)
+    return out
+
+
+@F.pandas_udf(_SEGMENTS)
+def _index(keys: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame({"letters": keys.map(letter_set).astype("int64"), "segments": keys.map(index_keys)})
+
+
+@F.pandas_udf(_SEGMENTS)
+def _probes(keys: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame({"letters": keys.map(letter_set).astype("int64"), "segments": keys.map(probe_keys)})
 
 
 @F.pandas_udf(T.IntegerType())
@@ -338,13 +352,16 @@ def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def near(typed: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b, d): keys of `typed` and `known` within the bound for the longer length, by the pigeonhole segment join."""
-    left = typed.select(F.col("key").alias("a")).distinct().select("a", F.explode(_probes("a")).alias("_seg"))
-    right = known.select(F.col("key").alias("b")).distinct().select("b", F.explode(_index("b")).alias("_seg"))
+    """(a, b, d): keys of `typed` and `known` within the bound for the longer length, by the pigeonhole segment join.
+
+    Candidates with too many different letters fall out before their distance is counted.
+    """
+    cut = lambda keys, name, by: keys.select(F.col("key").alias(name)).distinct().withColumn("_s", by(name)).select(name, F.col("_s.letters").alias(f"_{name}"), F.explode("_s.segments").alias("_seg"))
+    left, right = cut(typed, "a", _probes), cut(known, "b", _index)
     n = F.greatest(F.length("a"), F.length("b"))
     most = F.when(n < 5, 0).when(n < 9, 1).otherwise(2)
     # an exchange of neighbours is two plain edits
-    close = F.levenshtein("a", "b", 4).between(0, 2 * most)
+    close = (F.bit_count(F.col("_a").bitwiseXOR(F.col("_b"))) <= 2 * most) & F.levenshtein("a", "b", 4).between(0, 2 * most)
     pairs = left.join(right, "_seg").where((F.col("a") != F.col("b")) & close).select("a", "b").distinct()
     return pairs.withColumn("d", _distance("a", "b")).where(F.col("d") <= most)
 
@@ -368,7 +385,7 @@ def _people(authors: DataFrame, works: DataFrame) -> DataFrame:
 
 def links(authors: DataFrame, works: DataFrame) -> DataFrame:
     """(slug, person): every slug that stands for somebody with the slug that stands for the person."""
-    people = checkpointed(_people(authors, works))
+    people = spread(checkpointed(_people(authors, works)))
     sure = people.where("confirmed")
     open_ = people.where("not confirmed")
     typed = checkpointed(open_.select("slug", F.explode(_typed_keys("slug", "names")).alias("_k")).select("slug", "_k.kind", "_k.key"))
@@ -396,14 +413,14 @@ def links(authors: DataFrame, works: DataFrame) -> DataFrame:
         .unionByName(close.select("slug", "person", F.when(F.col("d") > 1, "two").otherwise(F.col("kind")).alias("kind"), F.lit(None).cast("string").alias("key"), F.when(F.col("d") > 1, TWO_EDITS).otherwise(table[F.col("kind")]).alias("w")))
     )
     weak = equal.where("kind = 'weak'").select("slug", "person", "kind", "key", weight("weak"))
-    evidence = strong.unionByName(weak).distinct()
-    best = evidence.groupBy("slug", "person", "kind", "key").agg(F.max("w").alias("w")).groupBy("slug", "person").agg(F.sum("w").alias("w"))
+    # the same evidence counts once, however often it was met
+    best = strong.unionByName(weak).groupBy("slug", "person", "kind", "key").agg(F.max("w").alias("w")).groupBy("slug", "person").agg(F.sum("w").alias("w"))
     code = typed.where("kind = 'code'").select("slug", F.col("key").alias("code"))
     best = best.join(code, "slug", "left")
     best = best.withColumn("w", F.col("w") + F.when(F.col("code").isNull(), 0.0).when(_fits("code", "person"), WEIGHTS["code"]).otherwise(-1.0))
-    top = best.groupBy("slug").agg(F.max(F.struct("w", "person")).alias("_top"), F.max("w").alias("_w"))
-    ties = best.join(top.select("slug", "_w"), "slug").where("w = _w").groupBy("slug").agg(F.count("*").alias("_ties"))
-    joined = top.join(ties, "slug").where((F.col("_w") >= ENOUGH) & (F.col("_ties") == 1)).select("slug", F.col("_top.person").alias("person"))
+    # the first and the last of the persons with the most evidence are the same one if there is no tie
+    top = best.groupBy("slug").agg(F.max(F.struct("w", "person")).alias("_last"), F.min(F.struct(-F.col("w"), "person")).alias("_first"))
+    joined = top.where((F.col("_last.w") >= ENOUGH) & (F.col("_last.person") == F.col("_first.person"))).select("slug", F.col("_last.person").alias("person"))
     linked = checkpointed(joined)
     rest = checkpointed(open_.join(linked, "slug", "left_anti").select("slug", "names"))
     return linked.unionByName(sure.select("slug", F.col("slug").alias("person"))).unionByName(_among_themselves(rest, typed))

@@ -14,7 +14,7 @@ SCHEMA = "taxonomy string, slug string, name string, yomi string, lookup_variant
 
 
 def slug(value, taxonomy="g"):
-    tries, _ = C._tries(tuple((t, s, n, y, tuple(x for x in v or () if x), d) for t, s, n, y, v, d in VOCAB))
+    tries = C._tries(tuple((t, s, n, y, tuple(x for x in v or () if x), d) for t, s, n, y, v, d in VOCAB))
     return C.closest(value, tries.get(taxonomy))
 
 
@@ -33,7 +33,7 @@ def test_no_entry():
 
 
 def test_entry_longer_than_the_value():
-    tries, _ = C._tries((("g", "horror", "ホラー", "ほらー", (), None), ("g", "essay", "エッセイ", "えっせい", (), None)))
+    tries = C._tries((("g", "horror", "ホラー", "ほらー", (), None), ("g", "essay", "エッセイ", "えっせい", (), None)))
     assert [C.closest(v, tries["g"]) for v in ("ホラ", "ホラもの", "ホラ系", "ホロ", "ホ")] == ["horror"] * 3 + ["none"] * 2
     # the search reaches whatever bound() allows, and no farther
     for n in range(1, 30):
@@ -52,3 +52,20 @@ def test_rows(spark):
 
 def test_romaji():
     assert C.romaji("きっさてん") == "kissaten" and C.romaji("ショートショート") == "shootoshooto" and C.kunrei("shokuba") == "syokuba" and C.romaji("ふぁんたじー") == "fantajii"
+
+
+def test_more_trimmings_than_any_cap():
+    assert slug("「" * 30 + "幻想" + "」" * 30) == "fantasy" and slug("やや" * 25 + "ファンタジー" + "風系" * 25) == "fantasy"
+    for long in ("(" * 20_000 + "幻想", "幻想" + "系" * 20_000, "やや" * 10_000 + "幻想", "1. " * 5_000 + "幻想"):
+        assert slug(long) == "fantasy"
+
+
+def test_a_list_of_any_size_in_shards(spark, monkeypatch):
+    vocab = spark.createDataFrame(VOCAB, SCHEMA)
+    raws = ["fantazy", "幻想", "猫", "猫もの", "fantas", "comedi", "将棋", "エッセ", "rat", "cat", " ", None, "cta", "時計搭"]
+    values = spark.createDataFrame([(t, r) for t in ("g", "k", "z", None) for r in raws], "taxonomy string, raw string")
+    whole = {tuple(r) for r in C.mapped(vocab, values).collect()}
+    monkeypatch.setattr(C, "LIST_ROWS", 2)
+    parts = {tuple(r) for r in C.mapped(vocab, values).collect()}
+    assert parts == whole and len(whole) == 4 * len(raws) and ("g", "fantazy", "fantasy") in whole
+    assert C.sharded(vocab.where("false"), values.where("false")).count() == 0
