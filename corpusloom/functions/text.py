@@ -136,3 +136,8 @@ def sections(s: Column, names: list[str]) -> Column:
 def reading_minutes(chars: Column) -> Column:
     """Minutes at 550 characters a minute, at least 1, null under 200 characters."""
     return F.when(chars >= 200, F.greatest(F.lit(1), F.floor(chars / 550.0 + 0.5).cast("int")))
+
+
+def title_key(s: Column) -> Column:
+    """A title as versions of it share it: width folded, lower case, no blanks or punctuation."""
+    return F.lower(F.regexp_replace(hankaku(s), r"[\s　!?！？。、・~〜「」『』()\-]+", ""))

@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def commit_log(lines: DataFrame, value: str, order: str) -> DataFrame:
-    """(commit, epoch, subject, path): file lines of a log under the header `__C__hash|epoch|subject` above them."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+def commit_log(lines: DataFrame, value: str, order: str, chunk: str | None = None) -> DataFrame:
+    """(commit, epoch, subject, path): file lines of a log under the header `__C__hash|epoch|subject` above them.
+
+    `order` settles the order of the lines. With `chunk`, a column whose groups each begin with a header (a file of a log
+    cut at headers, or a commit's own number), every chunk is read by itself; one unbroken log is read in one task.
+    """
+    w = (Window.partitionBy(chunk) if chunk else Window.partitionBy()).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     head = F.when(F.col(value).startswith("__C__"), F.split(F.substring(F.col(value), 6, 1_000_000), r"\|", 3))
     d = lines.withColumn("_h", F.last(head, ignorenulls=True).over(w)).where(f"not startswith({value}, '__C__') and trim({value}) <> ''")
     return d.select(F.col("_h")[0].alias("commit"), F.col("_h")[1].try_cast("long").alias("epoch"), F.col("_h")[2].alias("subject"), F.col(value).alias("path"))
@@ -65,6 +69,13 @@ def banned_lines(docs: DataFrame, key: str, text: str, words: list[str]) -> Data
     return rows.withColumn("_w", hit).where(F.size("_w") > 0).select(key, (F.col("_n") + 1).alias("line_no"), F.explode("_w").alias("word"))
 
 
+def secret_lines(docs: DataFrame, key: str, text: str, rules: dict[str, str]) -> DataFrame:
+    """(key, line_no, rule) of lines that meet a rule's pattern; what they hold stays where it is."""
+    rows = docs.select(F.col(key), F.posexplode(F.split(text, "\n", -1)).alias("_n", "_l"))
+    met = F.array_compact(F.array(*[F.when(F.col("_l").rlike(p), F.lit(name)) for name, p in rules.items()]))
+    return rows.select(key, (F.col("_n") + 1).alias("line_no"), F.explode(met).alias("rule"))
+
+
 def resolved_year(month: Column, day: Column, start: Column, end: Column) -> Column:
     """struct<date, precision> of a month and day without year inside a page's range of days.
 
