@@ -141,3 +141,105 @@ def reading_minutes(chars: Column) -> Column:
 def title_key(s: Column) -> Column:
     """A title as versions of it share it: width folded, lower case, no blanks or punctuation."""
     return F.lower(F.regexp_replace(hankaku(s), r"[\s　!?！？。、・~〜「」『』()\-]+", ""))
+
+
+@F.pandas_udf(T.StringType())
+def _nfc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
+
+def nfc(s: Column) -> Column:
+    """Canonical composed form; texts without marks that could compose never leave the JVM."""
+    return F.when(s.rlike(r"[\p{M}\x{1100}-\x{11FF}\x{2000}-\x{2FFF}\x{F900}-\x{FAFF}\x{FB1D}-\x{FB4F}゛゜]"), _nfc(s)).otherwise(s)
+
+
+def nfkc_lower(s: Column) -> Column:
+    """Compatibility form in lower case."""
+    return F.lower(nfkc(s))
+
+
+#: What stands around a page's own title, and titles that say nothing.
+SITE = "少年少女文庫"
+NO_TITLES = ["無題ドキュメント", "無題", "untitled", "untitled document", SITE]
+
+
+def clean_title(s: Column) -> Column:
+    """A page's title without the site's name before or behind it and without tags; null where nothing is left."""
+    t = F.regexp_replace(strip_tags(s), r"(?U)^[\s　]+|[\s　]+$", "")
+    t = F.regexp_replace(F.regexp_replace(t, rf"^■?\s*{SITE}\s*[・\-–—:：|｜]\s*", ""), rf"\s*[・\-–—:：|｜]\s*{SITE}$", "")
+    return F.when(~F.lower(t).isin([x.lower() for x in NO_TITLES]) & (t != ""), t)
+
+
+#: Words that mean an entry of the vocabulary.
+SYNONYMS = {"学校": "学園", "ショート": "短編"}
+
+
+def vocabulary_form(s: Column) -> Column:
+    """A typed term as the vocabulary has it: width folded, corner brackets and a doubtful ending off, synonyms told."""
+    t = F.regexp_replace(F.regexp_replace(hankaku(s), "[「」]", ""), r"\s*(?:\(\?\)|\?)+$", "")
+    t = F.trim(t)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv]), t), t)
+
+
+def is_unspecified(s: Column) -> Column:
+    """Whether a value is nothing but question marks, brackets and blanks."""
+    return s.rlike(r"^[?？()（）\s　]+$")
+
+
+_MAILTO = r"(?is)<a\b[^>]*\bhref\s*=\s*[\"']?mailto:([^\"'>\s]*)[\"']?[^>]*>(.*?)</a\s*>"
+
+
+def scrubbed_mailto(s: Column) -> Column:
+    """struct<html, dropped>: mail links as their labels, or nothing where the label is an address; open mail attributes
+    as href="#"; bare addresses off. dropped holds every address that went, in the order links, labels, attributes, bare."""
+    real = lambda x: (x != "") & ~F.lower(x).rlike(FILE_SUFFIX)
+    wanted = F.regexp_extract_all(s, F.lit(_MAILTO), 1)
+    labels = F.filter(F.transform(F.regexp_extract_all(s, F.lit(_MAILTO), 2), lambda x: F.trim(F.regexp_replace(x, "<[^>]+>", ""))), lambda x: x.rlike(f"^{ADDRESS}$"))
+    one = F.regexp_replace(s, rf"(?is)<a\b[^>]*\bhref\s*=\s*[\"']?mailto:[^\"'>\s]*[\"']?[^>]*>\s*{ADDRESS}\s*</a\s*>", "")
+    one = F.regexp_replace(one, _MAILTO, "$2")
+    attribute = r"(?is)\bhref\s*=\s*[\"']?mailto:([^\"'>\s]*)[\"']?"
+    open_ = F.regexp_extract_all(one, F.lit(attribute), 1)
+    two = F.regexp_replace(one, attribute, 'href="#"')
+    bare = F.filter(F.regexp_extract_all(two, F.lit(f"({ADDRESS})"), 1), real)
+    html_ = F.aggregate(F.array_sort(F.array_distinct(bare), lambda a, b: F.length(b) - F.length(a)), two, lambda acc, x: F.replace(acc, x, F.lit("")))
+    return F.struct(F.regexp_replace(html_, r"^\s+$", "").alias("html"), F.concat(F.filter(wanted, lambda x: x != ""), labels, open_, bare).alias("dropped"))
+
+
+def scrubbed(s: Column) -> Column:
+    """A text with mail links as their labels, mail attributes off and bare addresses replaced."""
+    t = F.regexp_replace(F.regexp_replace(s, _MAILTO, "$2"), r"(?is)\s\w+\s*=\s*[\"']?mailto:[^\"'>\s]*[\"']?", "")
+    return redacted(t)
+
+
+def common_prefix(strings: Column) -> Column:
+    """The beginning that all strings of an array share; null for an empty array."""
+    both = lambda a, b: F.substring(a, F.lit(1), F.array_max(F.filter(F.sequence(F.lit(0), F.length(a)), lambda n: F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n))))
+    return F.aggregate(strings, F.get(strings, F.lit(0)), both)
+
+
+def romanized(s: Column, fallback: str = "untitled") -> Column:
+    """struct<slug, source>: an ASCII slug where the text has ASCII letters, else the fallback with the text's hash."""
+    made = slugify(hankaku(s))
+    return F.when(made != "", F.struct(made.alias("slug"), F.lit("ascii").alias("source"))).otherwise(
+        F.struct(F.concat(F.lit(f"{fallback}-"), F.substring(F.md5(s), 1, 8)).alias("slug"), F.lit("fallback").alias("source"))
+    )
+
+
+def markdown_cell(s: Column) -> Column:
+    """A value for a cell of a Markdown table."""
+    return F.replace(F.replace(F.coalesce(s, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+
+
+def yaml_string(s: Column) -> Column:
+    """A value as a quoted string."""
+    t = s
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return F.concat(F.lit('"'), t, F.lit('"'))
+
+
+def board_names(title: Column) -> Column:
+    """Names in a board's title: those before さん, else what stands before の感想."""
+    named = F.regexp_extract_all(title, F.lit(r"([^\s　・、&＆]+?)さん"), 1)
+    plain = F.filter(F.split(F.regexp_extract(title, "^(.*?)の感想", 1), "[・、&＆]", -1), lambda x: x != "")
+    return F.when(F.size(named) > 0, named).otherwise(plain)

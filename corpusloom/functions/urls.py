@@ -95,3 +95,85 @@ def url_path(path: pd.Series) -> pd.Series:
 def relative(to: pd.Series, start: pd.Series) -> pd.Series:
     """Path of `to` seen from the directory of `start`."""
     return pd.Series([None if a is None or b is None else posixpath.relpath(a, posixpath.dirname(b) or ".") for a, b in zip(to, start)], dtype=object)
+
+
+def malformed(url: Column) -> Column:
+    """Whether an address has no place in a tree: nested, rootless, or a machine's file."""
+    path = F.regexp_replace(url, r"^[a-z]+://[^/]*", "")
+    return path.rlike(r"/https?:/") | path.startswith("//") | path.rlike(r"(?:^|/)(?:robots\.txt|favicon\.ico)$")
+
+
+def is_junk(target: Column) -> Column:
+    """Whether a link's target cannot be a file: templates, scripts, search strings."""
+    return target.rlike(r"[<>{}$]|javascript:|^\?|//|\s$")
+
+
+#: Schemes that lead to no page.
+NO_PAGE = r"(?i)^(?:mailto|javascript|data|ftp|news|about|file|tel):"
+
+
+def unmangled(path: Column) -> Column:
+    """The address of a file that was named after an address with a query; null where the name tells nothing.
+
+    name@query of a script or page, name@query.html of a script, and ?-less names as they are; a bare number is opaque.
+    """
+    script = r"^(.*\.(?:cgi|php|pl))@([^@]+?)(?:\.html)?$"
+    page = r"^(.*)@([^@]+=[^@]*?)\.html$"
+    opaque = path.rlike(r"@\d+\.html?$")
+    return F.when(path.rlike(script), F.regexp_replace(path, script, "$1?$2")).when(path.rlike(page), F.regexp_replace(path, page, "$1.html?$2")).when(opaque, None).when(~path.contains("@"), path)
+
+
+def encoded_path(path: Column) -> Column:
+    """A path with each part percent-encoded; ASCII paths without odd signs never leave the JVM."""
+    return F.when(path.rlike(r"^[A-Za-z0-9!$&'()*+,;=:@~._/\-]*$"), path).otherwise(url_path(path))
+
+
+def page_url(path: Column, anchor: Column, root: str) -> Column:
+    """Address of a stored path under a root; external ones on their own host."""
+    p = F.when(path.startswith("external/"), F.concat(F.lit("http://"), encoded_path(F.regexp_replace(path, "^external/", "")))).otherwise(F.concat(F.lit(root), encoded_path(path)))
+    return F.concat(p, F.coalesce(F.concat(F.lit("#"), anchor), F.lit("")))
+
+
+def entry_type(path: Column, kind: Column) -> Column:
+    """image by suffix, else external or html."""
+    return F.when(path.rlike(r"(?i)\.(?:gif|jpe?g|png|bmp)$"), "image").when(kind == "external", "external").otherwise("html")
+
+
+def target_path(line: Column, home: str, most: int = 500) -> Column:
+    """The path that an address typed by a person means on the home host; null for other hosts, schemes, dots and overlong ones."""
+    s = F.trim(line)
+    full = F.regexp_extract(s, rf"(?i)^https?://(?:www\.)?{home.replace('.', '[.]')}(?::\d+)?(/[^?#]*)?", 1)
+    own = s.rlike(rf"(?i)^https?://(?:www\.)?{home.replace('.', '[.]')}(?::\d+)?(?:/|$)")
+    path = F.try_url_decode(F.when(own, full).when(s.startswith("/") & ~s.startswith("//"), F.regexp_replace(s, r"[?#].*$", "")))
+    return F.when(~path.rlike(r"(?:^|/)\.{1,2}(?:/|$)") & (F.length(s) <= most) & (path != ""), path)
+
+
+def absolute_links(html: Column, base: Column) -> Column:
+    """A page with its relative links made absolute."""
+    return F.regexp_replace(html, F.lit(r"(?i)\b(href|src)\s*=\s*\"(?![a-z][a-z0-9+.\-]*:|/|#)(?:\./)?([^\"]*)\""), F.concat(F.lit('$1="'), base, F.lit('$2"')))
+
+
+def published(html: Column) -> Column:
+    """A page without advertising scripts, its character set named once, at its old place or behind the head's tag."""
+    s = F.regexp_replace(html, r"(?is)<script\b[^>]*\bsrc\s*=[^>]*(?:ads|adserver|doubleclick|googlesyndication)[^>]*>.*?</script\s*>", "")
+    meta = r"(?is)^(.*?)<meta\b[^>]*charset[^>]*>"
+    named = F.regexp_replace(s, meta, '$1<meta charset="utf-8">')
+    return F.when(s.rlike(r"(?is)<meta\b[^>]*charset"), named).otherwise(F.regexp_replace(s, r"(?is)^(.*?<head\b[^>]*>)", '$1<meta charset="utf-8">'))
+
+
+def page_title(html: Column) -> Column:
+    """What a page's title tag holds, blanks collapsed; null without one."""
+    t = F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1), r"(?U)[\s　]+", " "))
+    return F.when(t != "", t)
+
+
+def day_of_path(path: Column) -> Column:
+    """struct<date, precision> of a path with a year-and-month directory: its first day; unknown without one."""
+    ym = F.regexp_extract(path, r"(?:^|/)(\d{4})(0[1-9]|1[0-2])/", 0)
+    day = F.when(ym != "", F.concat(F.regexp_extract(path, r"(?:^|/)(\d{4})(0[1-9]|1[0-2])/", 1), F.lit("-"), F.regexp_extract(path, r"(?:^|/)(\d{4})(0[1-9]|1[0-2])/", 2), F.lit("-01")))
+    return F.struct(day.alias("date"), F.when(day.isNotNull(), "directory-batch").otherwise("unknown").alias("precision"))
+
+
+def pivoted_year(year: Column) -> Column:
+    """Two-digit years below 50 in this century, others in the last; longer ones as they are."""
+    return F.when(year < 50, year + 2000).when(year < 100, year + 1900).otherwise(year)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.urls import NO_PAGE, mangled
+
 
 def resolved_path(base: Column, href: Column) -> Column:
     """Target path of a relative link seen from the directory `base`, . and .. worked out; null where it leaves the tree."""
@@ -21,6 +23,28 @@ def resolved_path(base: Column, href: Column) -> Column:
     return F.when(~folded["out"], F.array_join(folded["a"], "/"))
 
 
+def classified(url: Column, base: Column, home: str) -> Column:
+    """struct<kind, target> of a link on a page of the directory `base`: skip, external or internal with its path.
+
+    Fragments and other schemes are skipped; addresses of the home host and root-relative ones are internal; a relative
+    one that leaves the tree is external. A query becomes part of the file's name.
+    """
+    u = F.trim(url)
+    bare = F.regexp_replace(u, "#.*$", "")
+    own = F.regexp_extract(bare, rf"(?i)^https?://(?:www\d*\.)?{home.replace('.', '[.]')}(?::\d+)?/?(.*)$", 1)
+    is_own = bare.rlike(rf"(?i)^https?://(?:www\d*\.)?{home.replace('.', '[.]')}(?::\d+)?(?:/|$)")
+    named = lambda p: mangled(F.regexp_replace(p, r"\?.*$", ""), F.when(p.contains("?"), F.regexp_replace(p, r"^[^?]*\?", "")), "flat")
+    kept = named(F.when(is_own, own).when(bare.startswith("/"), F.regexp_replace(bare, "^/+", "")).otherwise(bare))
+    inside = F.when(is_own | bare.startswith("/"), resolved_path(F.lit(""), kept)).otherwise(resolved_path(base, kept))
+    st = lambda k, t: F.struct(F.lit(k).alias("kind"), t.cast("string").alias("target"))
+    return (
+        F.when((bare == "") | bare.rlike(NO_PAGE) | bare.rlike(r"^[^/]+@[^/]+$"), st("skip", F.lit(None)))
+        .when(bare.rlike("(?i)^(?:https?:)?//") & ~is_own, st("external", bare))
+        .when(inside.isNull(), st("external", bare))
+        .otherwise(st("internal", inside))
+    )
+
+
 def link_forms(inventory: DataFrame, path: str) -> DataFrame:
     """(form, path): every form under which a stored path answers: itself, its directory for index pages, itself without .html."""
     p = F.col(path)

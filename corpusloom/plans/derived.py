@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.functions.charsets import decoder
+from corpusloom.functions.charsets import decoded
 from corpusloom.operators import links, parsers, versions
 from corpusloom.operators.bounded import shared_folder
 from corpusloom.sources.tables import table
@@ -76,7 +76,7 @@ def tvf13_marked_lines(spark: SparkSession, d: str) -> DataFrame:
 def src02_decoded(spark: SparkSession, d: str) -> DataFrame:
     """Bytes of the documents through the character-set guess."""
     b = table(spark, d, "documents").where("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("b"))
-    return b.select("doc_id", decoder()("b").alias("d")).select("doc_id", F.length("d.text").alias("n"), "d.encoding")
+    return b.select("doc_id", decoded(F.col("b")).alias("d")).select("doc_id", F.length("d.text").alias("n"), "d.encoding")
 
 
 @query()

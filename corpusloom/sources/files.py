@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.functions.charsets import decoder
+from corpusloom.functions.charsets import decoded
 
 HTML = r"(?i)\.(?:html?|cgi|shtml)$"
 
@@ -23,7 +23,7 @@ def tree(spark: SparkSession, root: str, pattern: str = HTML, skip: str = r"/(?:
 
 def pages(spark: SparkSession, root: str, how: str = "chain") -> DataFrame:
     """(path, text, encoding) of the HTML files below `root`."""
-    return tree(spark, root).select("path", decoder(how)("content").alias("d")).select("path", "d.text", "d.encoding")
+    return tree(spark, root).select("path", decoded(F.col("content"), how).alias("d")).select("path", "d.text", "d.encoding")
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
