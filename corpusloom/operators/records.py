@@ -134,3 +134,90 @@ def checks(bundle: list[tuple[str, DataFrame, Column]]) -> DataFrame:
 
     rows = [df.select(F.lit(name).alias("name"), ok.alias("ok"), F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("detail")) for name, df, ok in bundle]
     return reduce(DataFrame.unionByName, rows)
+
+
+def missing(c: Column, kind: str) -> Column:
+    """Whether a field holds nothing: null, an empty string or an empty array."""
+    return c.isNull() | ((F.size(c) == 0) if kind == "array" else (c == ""))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """part of whole in percent with two places, nought of nothing."""
+    return F.coalesce(F.round(100.0 * part / F.nullif(whole, F.lit(0)), 2), F.lit(0.0))
+
+
+def public(df: DataFrame) -> DataFrame:
+    """`df` without the columns whose names begin with an underscore."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("_")])
+
+
+def exclusion(duplicate: Column, view: Column, template: Column, title_page: Column, empty: Column) -> Column:
+    """The first reason that holds to leave a file out; null where none does. Nulls hold no reason."""
+    reasons = [("duplicate-of-catalogued", duplicate), ("cgi-view", view), ("site-template", template), ("title-page", title_page), ("empty", empty)]
+    return F.coalesce(*[F.when(c, F.lit(name)) for name, c in reasons])
+
+
+def first_few(df: DataFrame, key: list[str], value: str, most: int) -> DataFrame:
+    """(key, n, few): how many rows a key has and its first `most` values in order; no more than those are gathered.
+
+    Values are ranked before they are gathered, so a key of any size costs its sort alone.
+    """
+    d = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(value)))
+    n = d.groupBy(*key).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_rn") <= most, F.col(value)))).alias("few"))
+    return n.select(*key, "n", "few")
+
+
+def proposals(members: DataFrame, work: str, family: str, order: str) -> DataFrame:
+    """(work, family, n, proposal): of a work's families the largest, then the first, stays; others of two or more split off, single ones go alone."""
+    g = members.groupBy(work, family).agg(F.count("*").alias("n"), F.min(order).alias("_first"))
+    r = g.withColumn("_rn", F.row_number().over(Window.partitionBy(work).orderBy(F.desc("n"), F.col("_first").asc_nulls_last(), family)))
+    return r.select(work, family, "n", F.when(F.col("_rn") == 1, "keep").when(F.col("n") >= 2, "split").otherwise("detach").alias("proposal"))
+
+
+def merged_works(works: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(works with `work`, the work each now belongs to; rules(merge, into) that do not hold, with the reason).
+
+    A rule holds if both works are there, differ, share their author, and the one merged into is not merged itself.
+    """
+    known = works.groupBy("work_slug").agg(F.min("author_slug").alias("_by"))
+    r = rules.distinct().join(known.select(F.col("work_slug").alias("merge"), F.col("_by").alias("_a")).withColumn("_m", F.lit(True)), "merge", "left").join(known.select(F.col("work_slug").alias("into"), F.col("_by").alias("_b")).withColumn("_i", F.lit(True)), "into", "left")
+    chained = rules.select(F.col("merge").alias("into"), F.lit(True).alias("_c")).distinct()
+    twice = rules.groupBy("merge").agg((F.min("into") != F.max("into")).alias("_t"))
+    r = r.join(chained, "into", "left").join(twice, "merge", "left")
+    reason = (
+        F.when(F.col("merge") == F.col("into"), "itself").when(F.col("_m").isNull() | F.col("_i").isNull(), "missing").when(F.col("_c"), "chain").when(F.col("_t"), "twice").when(~F.col("_a").eqNullSafe(F.col("_b")), "author")
+    )
+    judged = r.select("merge", "into", reason.alias("reason"))
+    good = judged.where("reason is null").select(F.col("merge").alias("work_slug"), "into").distinct()
+    out = works.join(good, "work_slug", "left").withColumn("work", F.coalesce("into", "work_slug")).drop("into")
+    return out, judged.where("reason is not null")
+
+
+def regrouped(members: DataFrame, splits: DataFrame, detached: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members(work, member) after splits(member, title) and detached(member): (members with `work`, rules that do not hold).
+
+    A split goes to a new work of its title under the old one, a detached member to a work of its own. A rule holds if
+    its member is there and no other rule has it; a split needs a title.
+    """
+    rules = splits.select("member", F.lit("split").alias("rule"), "title").unionByName(detached.select("member", F.lit("detach").alias("rule"), F.lit(None).cast("string").alias("title"))).distinct()
+    n = rules.groupBy("member").agg(F.count("*").alias("_n"))
+    there = members.select("member", F.lit(True).alias("_there")).distinct()
+    judged = rules.join(n, "member").join(there, "member", "left").withColumn("reason", F.when(F.col("_there").isNull(), "missing").when(F.col("_n") > 1, "twice").when((F.col("rule") == "split") & F.coalesce(F.trim("title") == "", F.lit(True)), "no title"))
+    good = judged.where("reason is null").select("member", "rule", "title")
+    work = F.when(F.col("rule") == "split", F.concat("work", F.lit("/"), "title")).when(F.col("rule") == "detach", F.concat("work", F.lit("/="), F.col("member").cast("string"))).otherwise(F.col("work"))
+    return members.join(good, "member", "left").select("member", work.alias("work")), judged.where("reason is not null").select("member", "rule", "reason")
+
+
+def edited(modified: Column, loaded: Column, slack: str = "interval 2 seconds") -> Column:
+    """Whether a row was changed by hand after it was loaded."""
+    return modified > loaded + F.expr(slack)
+
+
+def page_file(title: Column, content: Column) -> Column:
+    """A page as a file: its title in a comment, its content, one line end."""
+    return F.concat(F.lit("<!-- title: "), title, F.lit(" -->\n"), F.regexp_replace(content, r"[\r\n]+$", ""), F.lit("\n"))
+
+
+def read_page_file(page: Column) -> Column:
+    """struct<title, content> of such a file."""
+    return F.struct(F.regexp_extract(page, r"^<!-- title: (.*?) -->\n", 1).alias("title"), F.regexp_replace(F.regexp_replace(page, r"^<!-- title: .*? -->\n", ""), r"\n$", "").alias("content"))

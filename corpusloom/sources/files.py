@@ -122,3 +122,8 @@ def error_stub(path: Column, content: Column, marks: list[str], most: int = 1200
     for m in marks:
         hit = hit | text.contains(m.lower())
     return (F.length(content) <= most) & path.rlike(HTML) & hit
+
+
+def soft_404(page: Column, least: int = 4500, most: int = 7500, mark: str = "adsbygoogle") -> Column:
+    """Whether a page is the error page that a host gives for missing ones with a good status: of its size and with its mark."""
+    return (F.length(page) > least) & (F.length(page) < most) & page.contains(mark)
