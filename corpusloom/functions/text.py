@@ -243,3 +243,10 @@ def board_names(title: Column) -> Column:
     named = F.regexp_extract_all(title, F.lit(r"([^\s　・、&＆]+?)さん"), 1)
     plain = F.filter(F.split(F.regexp_extract(title, "^(.*?)の感想", 1), "[・、&＆]", -1), lambda x: x != "")
     return F.when(F.size(named) > 0, named).otherwise(plain)
+
+
+def first_rule(subject: Column, rules: dict[str, str]) -> Column:
+    """struct<kind, mixed>: the kind of the first word that a subject holds, whatever its case, else other; mixed if it holds several."""
+    s = F.lower(subject)
+    hits = F.array_compact(F.array(*[F.when(s.contains(word), F.lit(kind)) for word, kind in rules.items()]))
+    return F.struct(F.coalesce(F.get(hits, F.lit(0)), F.lit("other")).alias("kind"), (F.size(hits) > 1).alias("mixed"))

@@ -43,9 +43,17 @@ def carried(df: DataFrame, key: list[str], order: list[Column], value: str, span
 
 
 def collision_suffix(df: DataFrame, key: list[str], base: Column, suffix: Column, name: str) -> DataFrame:
-    """`base` for keys held by one row, base and suffix for every row of keys held by several."""
-    n = F.count("*").over(Window.partitionBy(*key))
-    return df.withColumn(name, F.when(n > 1, F.concat(base, F.lit("+"), F.coalesce(suffix, F.lit("")))).otherwise(base))
+    """`base` for keys held by one row, base and suffix for every row of keys held by several.
+
+    Keys are counted map-side and joined back, nulls alike, so no key's rows meet in one task.
+    """
+    n = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.count("*").alias("_n")).where("_n > 1")
+    same = F.lit(True)
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    d = df.withColumn("_base", base).withColumn("_suffix", suffix).join(n, same, "left")
+    d = d.withColumn(name, F.when(F.col("_n").isNotNull(), F.concat("_base", F.lit("+"), F.coalesce("_suffix", F.lit("")))).otherwise(F.col("_base")))
+    return d.drop("_n", "_base", "_suffix", *[f"_k{i}" for i in range(len(key))])
 
 
 def unique_slugs(df: DataFrame, base: str, order: list[str], sure: str) -> DataFrame:
@@ -121,7 +129,7 @@ def prefix_matches(paths: DataFrame, path: str, rules: DataFrame, rule: str) ->
     """
     r = rules.select(F.col(rule).alias("_rule"), F.regexp_replace(rule, r"\*$", "").alias("_stem"), F.col(rule).endswith("*").alias("_open")).where("_stem <> ''").distinct()
     lengths = r.select(F.length("_stem").alias("l")).distinct()
-    ls = [x[0] for x in lengths.orderBy("l").limit(10_000).collect()]
+    ls = [x[0] for x in lengths.orderBy("l").collect()]  # one row a length, so no more than the longest rule has letters
     keys = paths.withColumn("_key", F.explode(F.filter(F.array(*[F.lit(x) for x in ls]) if ls else F.array().cast("array<int>"), lambda n: n <= F.length(path)))).withColumn("_stem", F.substring(F.col(path), F.lit(1), F.col("_key")))
     hit = keys.join(r, "_stem").where(F.col("_open") | (F.col("_stem") == F.col(path)) | (F.substring(F.col(path), F.length("_stem") + 1, F.lit(1)) == "/"))
     w = Window.partitionBy(path).orderBy(F.length("_stem").desc(), "_rule")
@@ -221,3 +229,8 @@ def page_file(title: Column, content: Column) -> Column:
 def read_page_file(page: Column) -> Column:
     """struct<title, content> of such a file."""
     return F.struct(F.regexp_extract(page, r"^<!-- title: (.*?) -->\n", 1).alias("title"), F.regexp_replace(F.regexp_replace(page, r"^<!-- title: .*? -->\n", ""), r"\n$", "").alias("content"))
+
+
+def visible(status: Column, hidden: Column, can_view_hidden: Column) -> Column:
+    """pass, gone (withdrawn), show_hidden or not_found for a reader of a row."""
+    return F.when(status == "withdrawn", "gone").when(hidden & can_view_hidden, "show_hidden").when(hidden, "not_found").otherwise("pass")

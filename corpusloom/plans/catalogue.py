@@ -211,31 +211,35 @@ def join27_vocabulary_difference(spark: SparkSession, d: str) -> DataFrame:
     return a.join(t, ["taxonomy", "form"], "full_outer").where("_a is null or _t is null").select("taxonomy", F.when(F.col("_t").isNull(), "unused").otherwise("unknown").alias("side"), "form")
 
 
-_PREFIX_RULES = ["novel/2001*", "novel/200105*", "novel/1998*", "novel/2010*"]
-
-
 @query("""
-WITH r AS (SELECT unnest(['novel/2001', 'novel/200105', 'novel/1998', 'novel/2010']) AS stem)
-SELECT source_path, rule FROM (
-  SELECT p.source_path, r.stem || '*' AS rule, row_number() OVER (PARTITION BY p.source_path ORDER BY length(r.stem) DESC, r.stem) AS rn
-  FROM (SELECT DISTINCT source_path FROM episodes WHERE source_path IS NOT NULL) p JOIN r ON starts_with(p.source_path, r.stem)) WHERE rn = 1
+WITH w AS (SELECT DISTINCT source_path AS p FROM episodes WHERE withdrawn_at IS NOT NULL AND source_path IS NOT NULL),
+r AS (SELECT DISTINCT regexp_extract(p, '^(.*/)[^/]*$', 1) || '*' AS rule, regexp_extract(p, '^(.*/)[^/]*$', 1) AS stem, true AS open FROM w WHERE ends_with(p, '1.html') AND contains(p, '/') UNION SELECT p, p, false FROM w)
+SELECT source_path, rule FROM (SELECT e.source_path, r.rule, row_number() OVER (PARTITION BY e.source_path ORDER BY length(r.stem) DESC, r.rule) AS rn
+  FROM (SELECT DISTINCT source_path FROM episodes WHERE source_path IS NOT NULL) e JOIN r ON CASE WHEN r.open THEN starts_with(e.source_path, r.stem) ELSE e.source_path = r.stem OR starts_with(e.source_path, r.stem || '/') END) WHERE rn = 1
 """)
 def join31_prefix_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Paths under prefix rules, the longest rule counting."""
-    paths = table(spark, d, "episodes").select("source_path").where("source_path is not null").distinct()
-    rules = spark.createDataFrame([(r,) for r in _PREFIX_RULES], "rule string")
-    return records.prefix_matches(paths, "source_path", rules, "rule")
+    """Paths denied with the rule that denies them: a path of its own or the beginning of many, the longest counting."""
+    e = table(spark, d, "episodes").where("source_path is not null")
+    w = e.where("withdrawn_at is not null").select("source_path").distinct()
+    rules = w.where("source_path like '%1.html' and source_path like '%/%'").select(F.concat(F.regexp_extract("source_path", "^(.*/)[^/]*$", 1), F.lit("*")).alias("rule")).unionByName(w.select(F.col("source_path").alias("rule"))).distinct()
+    return records.prefix_matches(e.select("source_path").distinct(), "source_path", rules, "rule")
 
 
-@query("""
-WITH r AS (SELECT 'tourou_jima' AS board, 'novel/2008' AS prefix, '灯台' AS word)
-SELECT e.entry_no, e.kansou_slug = r.board AS by_board, starts_with(e.source_path, r.prefix) AS by_path, contains(e.title, r.word) AS by_title
-FROM episodes e, r WHERE coalesce(e.kansou_slug = r.board, false) OR coalesce(starts_with(e.source_path, r.prefix), false) OR coalesce(contains(e.title, r.word), false)
+#: Rules of shared worlds: (world, board, beginning of the path, pattern of the title).
+_WORLDS = [("lighthouse", "tourou_jima", "novel/2008", "灯台|灯火"), ("clock", "tokei", "novel/199", "時計"), ("spring", "haru", "external/", "^春")]
+
+
+@query(f"""
+WITH r AS (SELECT * FROM (VALUES {", ".join(str(w) for w in _WORLDS)}) t(world, board, prefix, pattern))
+SELECT e.entry_no, r.world, coalesce(e.kansou_slug = r.board, false) AS by_board, coalesce(starts_with(e.source_path, r.prefix), false) AS by_path, coalesce(regexp_matches(e.title, r.pattern), false) AS by_title
+FROM episodes e, r WHERE coalesce(e.kansou_slug = r.board, false) OR coalesce(starts_with(e.source_path, r.prefix), false) OR coalesce(regexp_matches(e.title, r.pattern), false)
 """)
 def join34_world_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of a shared world by board, path or title."""
-    e = table(spark, d, "episodes").select("entry_no", (F.col("kansou_slug") == "tourou_jima").alias("by_board"), F.col("source_path").startswith("novel/2008").alias("by_path"), F.col("title").contains("灯台").alias("by_title"))
-    return e.where("coalesce(by_board, false) or coalesce(by_path, false) or coalesce(by_title, false)")
+    """Lines of shared worlds by board, path or title, for each rule of a fixed list."""
+    no = F.lit(False)
+    rows = [F.struct(F.lit(w).alias("world"), F.coalesce(F.col("kansou_slug") == b, no).alias("by_board"), F.coalesce(F.col("source_path").startswith(p), no).alias("by_path"), F.coalesce(F.col("title").rlike(t), no).alias("by_title")) for w, b, p, t in _WORLDS]
+    e = table(spark, d, "episodes").select("entry_no", F.explode(F.array(*rows)).alias("r")).select("entry_no", "r.*")
+    return e.where("by_board or by_path or by_title")
 
 
 @query("""
@@ -332,16 +336,19 @@ def agg08_duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH a AS (SELECT regexp_extract(source_path, '^(.*)/[^/]*$', 1) AS dir, author, count(*) AS n FROM episodes WHERE author IS NOT NULL AND source_path IS NOT NULL GROUP BY ALL),
 b AS (SELECT dir, author, n, row_number() OVER (PARTITION BY dir ORDER BY n DESC, author) AS rn, count(*) OVER (PARTITION BY dir) AS k FROM a),
-m AS (SELECT dir, author, CASE WHEN k = 1 THEN 'dir-author' ELSE 'dir-majority' END AS how FROM b WHERE rn = 1)
-SELECT e.entry_no, m.author, m.how FROM episodes e JOIN m ON regexp_extract(e.source_path, '^(.*)/[^/]*$', 1) = m.dir WHERE e.author IS NULL
+m AS (SELECT dir, author, CASE WHEN k = 1 THEN 'dir-author' ELSE 'dir-author-majority' END AS how FROM b WHERE rn = 1 AND dir <> ''),
+e AS (SELECT entry_no, string_split(regexp_extract(source_path, '^(.*)/[^/]*$', 1), '/') AS parts FROM episodes WHERE author IS NULL AND source_path IS NOT NULL),
+x AS (SELECT entry_no, unnest(range(1, len(parts) + 1)) AS k, parts FROM e)
+SELECT entry_no, author, how, depth FROM (SELECT x.entry_no, m.author, m.how, len(x.parts) - x.k AS depth, row_number() OVER (PARTITION BY x.entry_no ORDER BY x.k DESC) AS rn FROM x JOIN m ON m.dir = array_to_string(x.parts[1:x.k], '/')) WHERE rn = 1
 """)
 def agg11_directory_author(spark: SparkSession, d: str) -> DataFrame:
-    """Author of uncredited lines from their directory: its only author or its majority."""
-    e = table(spark, d, "episodes").where("source_path is not null").select("entry_no", "author", urls.dirname(F.col("source_path")).alias("dir"))
-    n = e.where("author is not null").groupBy("dir", "author").agg(F.count("*").alias("n"))
-    m = records.best_per_key(n.withColumn("k", F.count("*").over(Window.partitionBy("dir"))), ["dir"], [F.desc("n"), F.col("author")])
-    m = m.select("dir", F.col("author").alias("_a"), F.when(F.col("k") == 1, "dir-author").otherwise("dir-majority").alias("how"))
-    return e.where("author is null").join(m, "dir").select("entry_no", F.col("_a").alias("author"), "how")
+    """Author of uncredited lines from the nearest directory above with known ones: its only author or its majority."""
+    e = table(spark, d, "episodes").where("source_path is not null").select("entry_no", "author", "source_path", urls.dirname(F.col("source_path")).alias("dir"))
+    n = e.where("author is not null and dir <> ''").groupBy("dir", "author").agg(F.count("*").alias("n"))
+    m = n.groupBy("dir").agg(F.min(F.struct(-F.col("n"), "author"))["author"].alias("_a"), F.when(F.count("*") == 1, "dir-author").otherwise("dir-author-majority").alias("how"))
+    up = e.where("author is null").select("entry_no", F.posexplode(urls.ancestors(F.col("source_path"))).alias("depth", "dir"))
+    near = up.join(m, "dir").groupBy("entry_no").agg(F.min(F.struct("depth", F.col("_a").alias("author"), "how")).alias("m"))
+    return near.select("entry_no", "m.author", "m.how", F.col("m.depth").cast("long").alias("depth"))
 
 
 @query("""
@@ -376,8 +383,8 @@ SELECT term, freq, freq >= 10 AS core, round(100.0 * freq / sum(freq) OVER (), 4
 def agg19_term_frequency(spark: SparkSession, d: str) -> DataFrame:
     """Frequency of typed genres, core from ten on, and share of all."""
     c = table(spark, d, "episodes").select(F.explode("genre_raw").alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("freq"))
-    total = c.agg(F.sum("freq")).first()[0] or 0
-    return c.select("term", "freq", (F.col("freq") >= 10).alias("core"), F.round(100.0 * F.col("freq") / F.lit(total), 4).alias("pct"))
+    total = c.agg(F.sum("freq")).scalar()
+    return c.select("term", "freq", (F.col("freq") >= 10).alias("core"), F.round(100.0 * F.col("freq") / total, 4).alias("pct"))
 
 
 @query("SELECT e AS evidence, count(DISTINCT work_slug) AS works FROM (SELECT work_slug, unnest(evidence) AS e FROM works) WHERE e IS NOT NULL GROUP BY e")
@@ -469,13 +476,13 @@ def win09_unique_slugs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT entry_no, first_value(entry_no) OVER w AS canonical, row_number() OVER w > 1 AS superseded FROM episodes
-WINDOW w AS (PARTITION BY episode_id ORDER BY CASE corpus WHEN 'honkan' THEN 3 WHEN 'uncatalogued' THEN 2 WHEN 'legacy' THEN 1 ELSE 0 END DESC, coalesce(size_kb, -1) DESC, entry_no
+WINDOW w AS (PARTITION BY episode_id ORDER BY date DESC NULLS LAST, CASE corpus WHEN 'honkan' THEN 3 WHEN 'uncatalogued' THEN 2 WHEN 'legacy' THEN 1 ELSE 0 END DESC, coalesce(size_kb, -1) DESC, entry_no
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """)
 def win12_canonical_version(spark: SparkSession, d: str) -> DataFrame:
-    """Canonical line of each id by corpus, size and number."""
+    """Canonical line of each id: the newest date, then by corpus, size and number."""
     p = F.when(F.col("corpus") == "honkan", 3).when(F.col("corpus") == "uncatalogued", 2).when(F.col("corpus") == "legacy", 1).otherwise(0)
-    w = Window.partitionBy("episode_id").orderBy(F.desc("_p"), F.coalesce("size_kb", F.lit(-1)).desc(), "entry_no")
+    w = Window.partitionBy("episode_id").orderBy(F.col("date").desc_nulls_last(), F.desc("_p"), F.coalesce("size_kb", F.lit(-1)).desc(), "entry_no")
     e = table(spark, d, "episodes").withColumn("_p", p)
     return e.select("entry_no", F.first("entry_no").over(w).alias("canonical"), (F.row_number().over(w) > 1).alias("superseded"))
 
@@ -513,10 +520,10 @@ def srt09_hourly_pick(spark: SparkSession, d: str) -> DataFrame:
     return ordered.join(F.broadcast(picks), "i").select("hour", "work_slug")
 
 
-@query()
+@query("SELECT doc_id FROM (SELECT DISTINCT doc_id FROM documents) ORDER BY md5('20260830|' || doc_id), doc_id LIMIT 100")
 def srt10_seeded_sample(spark: SparkSession, d: str) -> DataFrame:
     """A hundred documents by a seeded hash, whatever the order of the input."""
-    return table(spark, d, "documents").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(20260830)), "doc_id").limit(100)
+    return table(spark, d, "documents").select("doc_id").distinct().orderBy(F.md5(F.concat(F.lit("20260830|"), F.col("doc_id").cast("string"))), "doc_id").limit(100)
 
 
 @query("""
@@ -601,21 +608,27 @@ def f42_title_cores(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "episodes").where("title is not null").select("entry_no", text.title_core(F.col("title")).alias("core"))
 
 
-@query("SELECT entry_no, CASE WHEN size_kb >= 200 THEN greatest(1, floor(size_kb / 550.0 + 0.5)::INTEGER) END AS minutes, sha256('salt|' || recorder) AS who FROM episodes")
+@query("SELECT doc_id, CASE WHEN n_chars >= 200 THEN greatest(1, floor(n_chars / 550.0 + 0.5)::INTEGER) END AS minutes, sha256('salt|' || source) AS who FROM documents")
 def f57_hash_and_minutes(spark: SparkSession, d: str) -> DataFrame:
-    """Reading minutes and hashed recorders."""
-    return table(spark, d, "episodes").select("entry_no", text.reading_minutes(F.col("size_kb")).alias("minutes"), text.salted_hash(F.col("recorder"), "salt").alias("who"))
+    """Reading minutes of documents and hashed sources."""
+    return table(spark, d, "documents").select("doc_id", text.reading_minutes(F.col("n_chars")).alias("minutes"), text.salted_hash(F.col("source"), "salt").alias("who"))
 
 
-@query("""
-SELECT route, CASE WHEN contains(lower(route), 'wayback') THEN 'archive' WHEN contains(lower(route), 'mirror') THEN 'mirror' WHEN route IS NULL THEN 'unknown' ELSE 'other' END AS kind, count(*) AS n
-FROM episodes GROUP BY 1, 2
+#: Words of subjects and the routes they mean, the first one counting.
+_ROUTES = {"commoncrawl": "commoncrawl", "魚拓": "megalodon", "wayback": "wayback", "pixiv": "pixiv", "mirror": "mirror", "再掲": "repost"}
+_HITS = "list_filter([" + ", ".join(f"CASE WHEN contains(lower(s), '{w}') THEN '{k}' END" for w, k in _ROUTES.items()) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"""
+WITH e AS (SELECT entry_no, coalesce(route, '') || CASE entry_no % 4 WHEN 0 THEN ' Wayback と CommonCrawl' WHEN 1 THEN ' ウェブ魚拓から' WHEN 2 THEN '' ELSE ' PIXIV 再掲' END AS s FROM episodes)
+SELECT entry_no, coalesce(h[1], 'other') AS kind, len(h) > 1 AS mixed FROM (SELECT entry_no, {_HITS} AS h FROM e)
 """)
 def f34_route_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Routes by the first rule they meet."""
-    r = F.lower("route")
-    k = F.when(r.contains("wayback"), "archive").when(r.contains("mirror"), "mirror").when(r.isNull(), "unknown").otherwise("other")
-    return table(spark, d, "episodes").groupBy("route", k.alias("kind")).agg(F.count("*").alias("n"))
+    """Routes by the first rule that a subject meets, and whether it meets several."""
+    k = F.col("entry_no") % 4
+    s = F.concat(F.coalesce("route", F.lit("")), F.when(k == 0, " Wayback と CommonCrawl").when(k == 1, " ウェブ魚拓から").when(k == 2, "").otherwise(" PIXIV 再掲"))
+    r = text.first_rule(s, _ROUTES)
+    return table(spark, d, "episodes").select("entry_no", r["kind"].alias("kind"), r["mixed"].alias("mixed"))
 
 
 # ---- markup and conversion
@@ -796,14 +809,19 @@ def dq01_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT count(*) AS differing FROM ((SELECT episode_id, entry_no FROM episodes EXCEPT ALL SELECT episode_id, entry_no FROM (SELECT * FROM episodes ORDER BY entry_no))
-UNION ALL (SELECT episode_id, entry_no FROM (SELECT * FROM episodes ORDER BY entry_no) EXCEPT ALL SELECT episode_id, entry_no FROM episodes))
+WITH w AS (SELECT DISTINCT work_slug, episodes FROM works), a AS (SELECT work_slug, unnest(range(1, len(episodes) + 1)) AS n, unnest(list_transform(episodes, lambda x: x.episode_id)) AS e FROM w),
+b AS (SELECT work_slug, row_number() OVER (PARTITION BY work_slug, episodes ORDER BY i) AS n, e FROM (SELECT work_slug, episodes, unnest(range(len(episodes))) AS i, unnest(list_transform(episodes, lambda x: x.episode_id)) AS e FROM w))
+SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) + (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS differing, (SELECT count(*) FROM a) AS lines
 """)
 def dq10_rerun_parity(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that differ between two runs of the same plan in different row order."""
-    a = table(spark, d, "episodes").select("episode_id", "entry_no")
-    b = a.repartition(7, "entry_no")
-    return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("differing"))
+    """Members of works made by two plans, by place in the list and by numbering the opened list, and how many rows differ."""
+    w = table(spark, d, "works").select("work_slug", "episodes").distinct()
+    a = join18_membership(spark, d).select("work_slug", F.col("ordinal").cast("long").alias("n"), F.col("episode_id").alias("e"))
+    # the other plan zips the list with a sequence of its places
+    places = F.arrays_zip(F.sequence(F.lit(1), F.size("episodes")).alias("n"), F.col("episodes.episode_id").alias("e"))
+    b = w.where("size(episodes) > 0").select("work_slug", F.explode(places).alias("x")).select("work_slug", F.col("x")["n"].cast("long").alias("n"), F.col("x")["e"].alias("e"))
+    both = a.withColumn("_s", F.lit(1)).unionByName(b.withColumn("_s", F.lit(-1))).groupBy("work_slug", "n", "e").agg(F.sum("_s").alias("_s"), F.count_if(F.col("_s") > 0).alias("_a"))
+    return both.agg(F.coalesce(F.sum(F.abs("_s")), F.lit(0)).alias("differing"), F.coalesce(F.sum("_a"), F.lit(0)).alias("lines"))
 
 
 # ---- serving
@@ -841,20 +859,25 @@ def qry05_genre_chips(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT e.entry_no, CASE WHEN withdrawn_at IS NOT NULL THEN 'gone' WHEN entry_role = 'notice' THEN 'hidden' ELSE 'pass' END AS answer FROM episodes e
+SELECT entry_no, role, CASE WHEN withdrawn_at IS NOT NULL THEN 'gone' WHEN entry_role = 'notice' AND role = 'committee' THEN 'show_hidden' WHEN entry_role = 'notice' THEN 'not_found' ELSE 'pass' END AS answer
+FROM (SELECT *, unnest(['reader', 'committee']) AS role FROM episodes)
 """)
 def qry11_visible(spark: SparkSession, d: str) -> DataFrame:
-    """What a reader gets for each line."""
-    return table(spark, d, "episodes").select("entry_no", F.when(F.col("withdrawn_at").isNotNull(), "gone").when(F.col("entry_role") == "notice", "hidden").otherwise("pass").alias("answer"))
+    """What readers and the committee get for each line."""
+    e = table(spark, d, "episodes").withColumn("role", F.explode(F.array(F.lit("reader"), F.lit("committee"))))
+    status = F.when(F.col("withdrawn_at").isNotNull(), "withdrawn").otherwise("publish")
+    hidden = F.coalesce(F.col("entry_role") == "notice", F.lit(False))
+    return e.select("entry_no", "role", records.visible(status, hidden, F.col("role") == "committee").alias("answer"))
 
 
 @query("""
-SELECT 'e:' || episode_id AS src, 'w:' || work_slug AS dst FROM (SELECT DISTINCT work_slug, x.episode_id AS episode_id FROM (SELECT work_slug, unnest(episodes) AS x FROM works)) WHERE episode_id IS NOT NULL
+SELECT DISTINCT 'e:' || a AS src, 'w:' || work_slug AS dst FROM (SELECT work_slug, unnest([x.episode_id, replace(x.episode_id, '__', '/'), lower(x.episode_id)]) AS a FROM (SELECT work_slug, unnest(episodes) AS x FROM works)) WHERE a IS NOT NULL
 """)
 def qry10_pathmap(spark: SparkSession, d: str) -> DataFrame:
-    """Map of ids to the works that hold them."""
+    """Map of ids and their aliases (as a path, in lower case) to the works that hold them."""
     m = table(spark, d, "works").select("work_slug", F.explode("episodes.episode_id").alias("e")).where("e is not null").distinct()
-    return m.select(F.concat(F.lit("e:"), "e").alias("src"), F.concat(F.lit("w:"), "work_slug").alias("dst"))
+    forms = F.array("e", F.replace("e", F.lit("__"), F.lit("/")), F.lower("e"))
+    return m.select(F.explode(F.array_distinct(forms)).alias("a"), "work_slug").select(F.concat(F.lit("e:"), "a").alias("src"), F.concat(F.lit("w:"), "work_slug").alias("dst")).distinct()
 
 
 # ---- Spark built-in sanity, not derived from the catalogue

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,8 @@ HTML = r"(?i)\.(?:html?|cgi|shtml)$"
 def tree(spark: SparkSession, root: str, pattern: str = HTML, skip: str = r"/(?:\.git|scripts)/") -> DataFrame:
     """(path, length, content) of the files below `root`; empty trees give no rows."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), f"^{root.rstrip('/')}/", "")
+    base = re.escape(re.sub("^file:/+", "/", root).rstrip("/"))
+    rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), f"^{base}/", "")
     return files.where(F.col("path").rlike(pattern) & ~F.col("path").rlike(skip)).select(rel.alias("path"), "length", "content")
 
 
@@ -77,7 +79,7 @@ def rules(path: str, required: bool = False) -> dict:
 
 def rule_table(spark: SparkSession, held: dict[str, dict[str, str]]) -> DataFrame:
     """(key, field, value, expect) of nested rules key -> {field: value}, with an optional "expect" map."""
-    rows = [(k, f, v, r.get("expect", {}).get(f)) for k, r in held.items() for f, v in r.get("set", r).items() if f not in ("expect", "note")]
+    rows = [(k, f, v, r.get("expect", {}).get(f)) for k, r in held.items() if not k.startswith("_") for f, v in r.get("set", r).items() if f not in ("expect", "note")]
     return spark.createDataFrame(rows, "key string, field string, value string, expect string")
 
 
@@ -127,3 +129,73 @@ def error_stub(path: Column, content: Column, marks: list[str], most: int = 1200
 def soft_404(page: Column, least: int = 4500, most: int = 7500, mark: str = "adsbygoogle") -> Column:
     """Whether a page is the error page that a host gives for missing ones with a good status: of its size and with its mark."""
     return (F.length(page) > least) & (F.length(page) < most) & page.contains(mark)
+
+
+def write_report(df: DataFrame, path: str, indent: bool = True) -> None:
+    """A JSON document of its own for each row, over several lines if indented, the columns in their order."""
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"pretty": str(indent).lower(), "ignoreNullFields": "false"})
+    # one file a row: the reader takes a file for a document
+    rows = df.select(text.alias("value"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_document"))
+    rows.write.mode("overwrite").partitionBy("_document").text(path)
+
+
+def write_rules(held: dict, path: str, note: str = "written by the last run") -> None:
+    """A rule file with sorted keys; JSON has no comments, so its header is a key of its own."""
+    p = Path(path)
+    if p.suffix == ".json":
+        p.write_text(json.dumps({"_note": {"note": note}, **held}, ensure_ascii=False, indent=2, sort_keys=True) + "\n", "utf-8")
+        return
+    import yaml
+
+    p.write_text(f"# {note}\n" + yaml.safe_dump(held, allow_unicode=True, sort_keys=True), "utf-8")
+
+
+def write_files(df: DataFrame, root: str, path: Column, content: Column) -> None:
+    """A file for each row, by the tasks that hold the rows; a file is written aside and then renamed, so none is seen half."""
+
+    def place(rows) -> None:
+        import os
+        import uuid
+        from urllib.parse import urlparse
+
+        base = urlparse(root).path
+        for r in rows:
+            at = os.path.join(base, r["path"])
+            os.makedirs(os.path.dirname(at), exist_ok=True)
+            aside = f"{at}.{uuid.uuid4().hex}"
+            with open(aside, "wb") as f:
+                f.write(bytes(r["content"]))
+            os.replace(aside, at)
+
+    df.select(path.alias("path"), content.alias("content")).where("path is not null and content is not null").foreachPartition(place)
+
+
+def written(df: DataFrame, path: str, check: bool = False) -> DataFrame:
+    """`df`, written as Parquet unless the run is one that only checks."""
+    if not check:
+        df.write.mode("overwrite").parquet(path)
+    return df
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path of the cluster's file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def staged(files_: DataFrame, held: DataFrame, marks: list[str], least: int = 10) -> DataFrame:
+    """`files_` (path, content) with the decision: too-small, stub (an error page), exists (in held(path), also as .html) or place."""
+    h = held.select(F.col("path").alias("_h")).distinct()
+    forms = files_.withColumn("_f", F.explode(F.array_distinct(F.array("path", F.when(F.col("path").rlike(r"\.[A-Za-z0-9]+$"), F.col("path")).otherwise(F.concat("path", F.lit(".html")))))))
+    there = forms.join(h, F.col("_f") == F.col("_h")).select("path", F.lit(True).alias("_there")).distinct()
+    decision = F.when(F.length("content") < least, "too-small").when(error_stub(F.col("path"), F.col("content"), marks), "stub").when(F.col("_there"), "exists").otherwise("place")
+    return files_.join(there, "path", "left").withColumn("decision", decision).drop("_there")
+
+
+def markdown_table(df: DataFrame, order: list[str], most: int = 10_000) -> list[str]:
+    """The lines of a report table; a report of more than `most` rows is an error, as nobody reads it."""
+    rows = df.orderBy(*order).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report table of more than {most} rows")
+    cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")
+    return ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(cell(x) for x in r) + " |" for r in rows)]
