@@ -201,8 +201,9 @@ def person_keys(slug: str, names: list[str]) -> list[tuple[str, str]]:
     """Keys under which a person with a confirmed slug is found. Weak ones carry the first letters of a part of the slug."""
     own, digits = slug_parts(slug)
     out = [] if digits else _both_ways(own)
-    out += [(k, v) for n in names for k, v in name_keys(n) if k in ("name", "mixed", "latin")]
-    weak = [v for n in names for k, v in name_keys(n) if k == "weak" and v.startswith(("nk:", "h3:"))]
+    of_names = [kv for n in names for kv in name_keys(n)]
+    out += [(k, v) for k, v in of_names if k in ("name", "mixed", "latin")]
+    weak = [v for k, v in of_names if k == "weak" and v.startswith(("nk:", "h3:"))]
     solid = [re.sub(r"[\s_=＝・]", "", "".join(cleaned(n)[0])) for n in names if not is_nobody(n)]
     two = len(own) == 2
     folded = [latin(p) for p in own]
