@@ -37,6 +37,10 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+#: Bytes from which a piece is a row of its own.
+LONG_PIECE = 4096
+
+
 class PairTable:
     """Hash of (left id, right id) -> merged id; a pair's rank is its merged id."""
 
@@ -145,6 +149,47 @@ class Encoder:
             ranks = self.pairs.ranks_of(ids[:, :-1], ids[:, 1:])
         return out  # type: ignore[return-value]
 
+    def _merge_long(self, ids: np.ndarray) -> np.ndarray:
+        """The final ids of one long row: the same rounds over a linked row, where only pairs next to a merge are looked up again.
+
+        All places of the minimum pair merge up to and with the first whose merge makes a pair of lower rank.
+        """
+        ids = ids.astype(np.int32)
+        while True:
+            n = len(ids)
+            after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+            ranks, alive = np.full(n, NO_RANK, np.int32), n
+            ranks[:-1] = self.pairs.ranks_of(ids[:-1], ids[1:])
+            at = lambda i: np.where((i >= 0) & (i < n), ids[np.clip(i, 0, n - 1)], -1)
+            while True:
+                least = ranks.min()
+                if least == NO_RANK:
+                    return ids[ids >= 0]
+                hit = np.flatnonzero(ranks == least)
+                if len(hit) > 1:
+                    # of a run of overlapping places every second one counts, from its start
+                    place = np.arange(len(hit))
+                    fresh = np.r_[True, after[hit[:-1]] != hit[1:]]
+                    hit = hit[(place - np.maximum.accumulate(np.where(fresh, place, 0))) % 2 == 0]
+                t = np.full(len(hit), least, np.int32)
+                lower = np.minimum.reduce([self.pairs.ranks_of(a, b) for a, b in ((at(before[hit]), t), (t, at(after[np.clip(after[hit], 0, n - 1)])), (t, t))]) < least
+                if lower.any():
+                    hit = hit[: int(lower.argmax()) + 1]
+                right = after[hit]
+                then = after[right]
+                ids[hit], ids[right], ranks[right] = least, -1, NO_RANK
+                after[hit] = then
+                inside = then < n
+                before[then[inside]] = hit[inside]
+                touched = np.unique(np.concatenate([hit, before[hit][before[hit] >= 0]]))
+                ranks[touched] = self.pairs.ranks_of(ids[touched], at(after[touched]))
+                alive -= len(hit)
+                if alive < 0.7 * n:
+                    break
+            ids = ids[ids >= 0]
+            if len(ids) < 2:
+                return ids
+
     def pieces(self, pieces: list[str]) -> dict[str, np.ndarray]:
         """Ids of distinct pieces."""
         out, buckets = {}, {}
@@ -157,7 +202,10 @@ class Encoder:
                 out[p] = self.bytes[[raw[0]]]
             else:
                 buckets.setdefault((len(raw) - 1).bit_length(), []).append((p, raw))
-        for _, bucket in sorted(buckets.items()):
+        for bits, bucket in sorted(buckets.items()):
+            if 2**bits > LONG_PIECE:
+                out.update((p, self._merge_long(self.bytes[np.frombuffer(raw, np.uint8)])) for p, raw in bucket)
+                continue
             step = max(1, CELLS // max(len(raw) for _, raw in bucket))
             for at in range(0, len(bucket), step):
                 part = bucket[at : at + step]

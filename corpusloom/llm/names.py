@@ -448,9 +448,13 @@ def _among_themselves(rest: DataFrame, typed: DataFrame) -> DataFrame:
     return labels.where("node like 's:%'").select(F.substring("node", 3, 1_000_000).alias("slug"), F.concat(F.lit("?"), "label").alias("person"))
 
 
+def persons(authors: DataFrame, works: DataFrame) -> DataFrame:
+    """(slug, person): one row for each slug that stands for somebody; slugs of one person are linked, pairs need not be written out."""
+    return checkpointed(links(authors, works).where(~_is_nobody("slug")))
+
+
 def pairs(authors: DataFrame, works: DataFrame) -> DataFrame:
     """(slug_a, slug_b): each two different slugs of one person, slug_a < slug_b in code point order."""
-    who = links(authors, works).where(~_is_nobody("slug"))
-    who = checkpointed(who)
+    who = persons(authors, works)
     x, y = who.alias("x"), who.alias("y")
     return x.join(y, (F.col("x.person") == F.col("y.person")) & (F.col("x.slug") < F.col("y.slug"))).select(F.col("x.slug").alias("slug_a"), F.col("y.slug").alias("slug_b"))

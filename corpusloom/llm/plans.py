@@ -30,6 +30,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.pairs(_table(spark, sf_dir, "authors"), _table(spark, sf_dir, "works").select("author_slug", "credit"))
 
 
+def p3_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every slug that stands for somebody, with the first slug of its person and how many the person has."""
+    from corpusloom.llm import names
+
+    who = names.persons(_table(spark, sf_dir, "authors"), _table(spark, sf_dir, "works").select("author_slug", "credit"))
+    each = who.groupBy("person").agg(F.min("slug").alias("first_slug"), F.count("*").alias("slugs"))
+    return who.join(each, "person").select("slug", "first_slug", "slugs")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of episodes whose path and anchor look the same though stored differently."""
     from corpusloom.llm import lookalikes
@@ -104,5 +113,5 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(_table(spark, sf_dir, "documents"), "source", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p5_found": p5_found, "p5_places": p5_places, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_space": p7_space, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p3_people": p3_people, "p5_found": p5_found, "p5_places": p5_places, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_space": p7_space, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 SQL: dict[str, str] = {}

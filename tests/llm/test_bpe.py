@@ -36,3 +36,25 @@ def test_rows(spark):
     assert got == [(1, [64, 275]), (1, [64, 275]), (2, []), (3, [])]
     assert bpe.encoded(d.where("false"), "doc_id", "text", bpe.default_ranks()).count() == 0
     assert {r["doc_id"]: r["n_tokens"] for r in bpe.counted(d, "doc_id", "text", bpe.default_ranks()).collect()} == {1: 2, 2: 0, 3: 0}
+
+
+def test_long_runs(both):
+    enc, tik = both
+    rnd = random.Random(7)
+    for text in ("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000)), "ab" * 10_000 + "a", "あい" * 4_000):
+        assert list(enc.encode([text])[0]) == tik.encode_ordinary(text)
+    # a million letters without a break end in seconds, and nothing is lost
+    text = "".join(rnd.choice("abcdefghijklmnop") for _ in range(1_000_000))
+    assert tik.decode(list(enc.encode([text])[0])) == text
+
+
+def test_linked_rows_like_matrices(both):
+    import numpy as np
+
+    enc, _ = both
+    rnd = random.Random(8)
+    for alphabet in ("ab", "abc ", "あいé0"):
+        for n in (2, 3, 17, 400):
+            raw = "".join(rnd.choice(alphabet) for _ in range(n)).encode()
+            ids = enc.bytes[np.frombuffer(raw, np.uint8)]
+            assert list(enc._merge_long(ids)) == list(enc._merge(ids[None, :])[0])
