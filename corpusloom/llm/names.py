@@ -349,7 +349,7 @@ def _probes(keys: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.IntegerType())
 def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([distance(x, y, 2) for x, y in zip(a, b)], dtype="int32")
+    return pd.Series([distance(x, y, 2) if isinstance(x, str) else 0 for x, y in zip(a, b)], dtype="int32")
 
 
 def near(typed: DataFrame, known: DataFrame) -> DataFrame:
@@ -361,10 +361,13 @@ def near(typed: DataFrame, known: DataFrame) -> DataFrame:
     left, right = cut(typed, "a", _probes), cut(known, "b", _index)
     n = F.greatest(F.length("a"), F.length("b"))
     most = F.when(n < 5, 0).when(n < 9, 1).otherwise(2)
-    # an exchange of neighbours is two plain edits
-    close = (F.bit_count(F.col("_a").bitwiseXOR(F.col("_b"))) <= 2 * most) & F.levenshtein("a", "b", 4).between(0, 2 * most)
-    pairs = left.join(right, "_seg").where((F.col("a") != F.col("b")) & close).select("a", "b").distinct()
-    return pairs.withColumn("d", _distance("a", "b")).where(F.col("d") <= most)
+    odd = F.bit_count(F.col("_a").bitwiseXOR(F.col("_b")))
+    # an exchange of neighbours is two plain edits that change no letters: what is beyond the bound must be exchanges
+    pairs = left.join(right, "_seg").where((F.col("a") != F.col("b")) & (odd <= 2 * most)).withColumn("_d", F.levenshtein("a", "b", 4)).where("_d > 0")
+    pairs = pairs.where((F.col("_d") <= most) | (odd <= 2 * (2 * most - F.col("_d")))).select("a", "b", "_d", most.alias("_most")).distinct()
+    # one plain edit is the distance itself; the rest may hold exchanges
+    far = pairs.withColumn("d", F.when(F.col("_d") > 1, _distance(F.when(F.col("_d") > 1, F.col("a")), F.col("b"))).otherwise(F.col("_d")))
+    return far.where(F.col("d") <= F.col("_most")).select("a", "b", "d")
 
 
 def _people(authors: DataFrame, works: DataFrame) -> DataFrame:
