@@ -47,8 +47,10 @@ def converted(s: Column) -> Column:
 
 def proof(original: Column, made: Column) -> Column:
     """equal, contained (with cut ends), or lost: whether a conversion kept the original's text."""
-    a, b = compared(precleaned(original)), compared(made)
-    return F.when(a == b, "equal").when((b != "") & a.contains(b), "contained").when(a.isNotNull() & b.isNotNull(), "lost")
+    # the two forms are the fields of one element, so each is made once however often it is compared
+    forms = F.array(F.struct(compared(precleaned(original)).alias("a"), compared(made).alias("b")))
+    judged = lambda f: F.when(f["a"] == f["b"], "equal").when((f["b"] != "") & f["a"].contains(f["b"]), "contained").when(f["a"].isNotNull() & f["b"].isNotNull(), "lost")
+    return F.get(F.transform(forms, judged), F.lit(0))
 
 
 def hard_wrapped(s: Column, least: int = 30, width: int = 30) -> Column:

@@ -69,6 +69,21 @@ def banned_lines(docs: DataFrame, key: str, text: str, words: list[str]) -> Data
     return rows.withColumn("_w", hit).where(F.size("_w") > 0).select(key, (F.col("_n") + 1).alias("line_no"), F.explode("_w").alias("word"))
 
 
+def denied_paths(lines: DataFrame, value: str) -> DataFrame:
+    """(path, whole) of the lines of a server's rules that deny something: gone redirects and rewrites to nothing.
+
+    whole tells a path that is denied by itself from the beginning of many; comments and other rules say nothing.
+    """
+    v = F.trim(F.col(value))
+    gone = r"(?i)^Redirect(?:Match)?\s+(?:gone|410)\s+(\S+)\s*$"
+    rule = r"(?i)^RewriteRule\s+(\S+)\s+-\s+\[[^\]]*\b(?:G|F)\b[^\]]*\]\s*$"
+    raw = F.when(v.rlike(gone), F.regexp_extract(v, gone, 1)).when(v.rlike(rule), F.regexp_extract(v, rule, 1))
+    d = lines.select(raw.alias("_p")).where("_p is not null")
+    path = F.regexp_replace(F.regexp_replace(F.regexp_replace("_p", r"^\^?/?", ""), r"\$$", ""), r"\\(.)", "$1")
+    whole = F.col("_p").endswith("$") | ~F.col("_p").startswith("^")
+    return d.select(path.alias("path"), whole.alias("whole")).distinct()
+
+
 def secret_lines(docs: DataFrame, key: str, text: str, rules: dict[str, str]) -> DataFrame:
     """(key, line_no, rule) of lines that meet a rule's pattern; what they hold stays where it is."""
     rows = docs.select(F.col(key), F.posexplode(F.split(text, "\n", -1)).alias("_n", "_l"))

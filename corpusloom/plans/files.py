@@ -59,6 +59,21 @@ def src09_rules(spark: SparkSession, d: str) -> DataFrame:
     return files.rule_table(spark, files.rules(str(at), required=True)).where("field = 'name'").select(F.col("key").alias("slug"), F.col("value").alias("name"))
 
 
+@query("""
+WITH c AS (SELECT 'k' || user_id AS urlkey, strftime(ts, '%Y%m%d%H%M%S') AS stamp, 'http://h/' || event_id AS original, (value * 100)::INTEGER AS length, CASE WHEN (value * 100)::INTEGER > 0 AND (value * 100)::INTEGER <= 700 THEN 0 ELSE 1 END AS q FROM events WHERE event_type <> 'error')
+SELECT urlkey, original, stamp AS ts FROM (SELECT *, row_number() OVER (PARTITION BY urlkey ORDER BY q DESC, stamp DESC, original) AS rn FROM c) WHERE rn = 1
+""")
+def src14_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The best capture of each key out of a capture log: successes, whole pages before stubs, the newest first."""
+    from corpusloom.operators import records
+
+    e = table(spark, d, "events")
+    line = F.concat_ws(" ", F.concat(F.lit("k"), "user_id"), F.concat(F.lit("http://h/"), "event_id"), F.date_format("ts", "yyyyMMddHHmmss"), F.when(F.col("event_type") == "error", "404").otherwise("200"), F.lit("text/html"), F.round(F.col("value") * 100).cast("int").cast("string"))
+    log = files.capture_log(spark, _written(spark, e.select(line.alias("value")))).where("status = '200'")
+    q = F.when((F.col("length") > 0) & (F.col("length") <= 700), 0).otherwise(1)
+    return records.best_per_key(log.withColumn("_q", q), ["urlkey"], [F.desc("_q"), F.desc("ts"), F.col("original")]).select("urlkey", "original", "ts")
+
+
 _CDX = "SELECT event_id, user_id, (value * 100)::INTEGER AS length, strftime(ts, '%Y%m%d%H%M%S') AS stamp FROM events"
 
 

@@ -234,6 +234,17 @@ def tvf15_gallery(spark: SparkSession, d: str) -> DataFrame:
     return e.select("entry_no", "image", F.regexp_extract("image", r"(\d)\.[a-z]+$", 1).cast("int").alias("variant"), "artist")
 
 
+@query(f"""
+WITH w AS (SELECT DISTINCT entry_no, t FROM {_E} WHERE withdrawn_at IS NOT NULL) SELECT 'novel/' || t || entry_no || '.html' AS path, true AS whole FROM w UNION SELECT 'art/' || entry_no || '/', false FROM w
+""")
+def tvf14_deny_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Paths that the lines of a server's rules deny, whole or by their beginning."""
+    no = F.col("entry_no").cast("string")
+    e = _episodes(spark, d).where("withdrawn_at is not null")
+    lines = F.array(_cat("# Redirect gone /x", no), _cat("Redirect gone /novel/", F.col("t"), no, ".html"), _cat("RewriteRule ^art/", no, "/ - [G,L]"), _cat("RewriteRule ^y", no, "$ /z [R=301]"), F.lit(""), _cat("RewriteRule ^novel/", F.col("t"), no, "\\.html$ - [G]"))
+    return parsers.denied_paths(e.select(F.explode(lines).alias("value")), "value")
+
+
 _RULES = {"shebang": r"^#!", "perl": r"(?:^|\s)my \$\w+\s*=", "password": r"(?i)password\s*=\s*[^\s<>&]{4,}", "hidden-field": r"(?i)<input[^>]*type=.?hidden[^>]*name=.?pass"}
 
 

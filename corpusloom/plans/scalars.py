@@ -346,3 +346,16 @@ def src03_broken_bytes(spark: SparkSession, d: str) -> DataFrame:
     e = _episodes(spark, d).select("entry_no", F.regexp_replace("k", _NOT_SOLID, "").alias("x"))
     e = e.select("entry_no", "x", charsets.decoded(broken("x"), "fewest").alias("d"), charsets.lenient(F.concat(F.encode(F.concat(F.lit("x"), "x"), "UTF-8"), F.unhex(F.lit("FF")))).alias("lenient"))
     return e.select("entry_no", F.regexp_replace(F.regexp_replace("d.text", "^(?:癰)+", "癰"), "[�].*$", "").alias("fewest"), F.col("d.encoding").alias("how"), "lenient")
+
+
+@query(f"SELECT entry_no, 'あい' || k AS text, 'cp932' AS enc, 'utf-8' AS plain FROM (SELECT entry_no, regexp_replace(k, '{_NOT_SOLID}', '', 'g') AS k FROM {_E})")
+def src05_audit_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes read for an audit: UTF-8, else cp932 with replacements."""
+
+    @F.pandas_udf("binary")
+    def as_bytes(s: pd.Series) -> pd.Series:
+        return pd.Series([("あい" + x).encode("cp932") for x in s], dtype=object)
+
+    e = _episodes(spark, d).select("entry_no", F.regexp_replace("k", _NOT_SOLID, "").alias("x"))
+    e = e.select("entry_no", charsets.decoded(as_bytes("x")).alias("d"), charsets.decoded(F.encode(F.concat(F.lit("あ"), "x"), "UTF-8")).alias("p"))
+    return e.select("entry_no", F.col("d.text").alias("text"), F.col("d.encoding").alias("enc"), F.col("p.encoding").alias("plain"))
