@@ -108,7 +108,7 @@ def src06_lenient(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", lenient(F.encode("text", "UTF-8")).alias("text"))
 
 
-@query("SELECT kind, count(*) AS pages, sum(strlen(text))::BIGINT AS bytes FROM documents WHERE text IS NOT NULL AND kind IN ('body', 'notice') GROUP BY kind")
+@query("SELECT kind, count(*) AS pages, sum(strlen(text))::BIGINT AS bytes FROM documents WHERE text IS NOT NULL AND text <> '' AND kind IN ('body', 'notice') GROUP BY kind")
 def src01_tree(spark: SparkSession, d: str) -> DataFrame:
     """Pages of a tree by directory; scripts and version control are passed by."""
     at = _place(spark)
@@ -119,7 +119,7 @@ def src01_tree(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("kind")).agg(F.count("*").alias("pages"), F.sum("length").alias("bytes"))
 
 
-@query("SELECT sha256(text) AS sha256, md5(text) AS md5, count(*) AS files FROM documents WHERE text IS NOT NULL GROUP BY ALL")
+@query("SELECT sha256(text) AS sha256, md5(text) AS md5, count(*) AS files FROM documents WHERE text IS NOT NULL AND text <> '' GROUP BY ALL")
 def snk12_inventory(spark: SparkSession, d: str) -> DataFrame:
     """Files of a tree by content."""
     at = _place(spark)
@@ -134,7 +134,7 @@ def snk09_path_table(spark: SparkSession, d: str) -> DataFrame:
     at = _place(spark)
     m = table(spark, d, "works").select("work_slug", F.explode("episodes.episode_id").alias("e")).where("e is not null")
     files.write_tsv(m.select(F.concat(F.lit("e:"), "e").alias("src"), F.concat(F.lit("w:"), "work_slug").alias("dst")), at)
-    return spark.read.schema("src string, dst string").option("sep", "\t").csv(at)
+    return files.tsv(spark, at, "src string, dst string")
 
 
 @query("SELECT coalesce(entry_type, 'none') AS entry_type, count(*) AS n, min(entry_no) AS first_entry FROM (SELECT entry_type, entry_no + CASE WHEN entry_type = 'html' THEN 1 ELSE 0 END AS entry_no FROM episodes WHERE entry_type IS DISTINCT FROM 'html' OR entry_no % 2 = 0) GROUP BY 1")

@@ -12,11 +12,12 @@ from pyspark.sql import types as T
 
 from corpusloom.functions.charsets import decoded
 
+_TSV = {"sep": "\t", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 HTML = r"(?i)\.(?:html?|cgi|shtml)$"
 
 
 def tree(spark: SparkSession, root: str, pattern: str = HTML, skip: str = r"/(?:\.git|scripts)/") -> DataFrame:
-    """(path, length, content) of the files below `root`; empty trees give no rows."""
+    """(path, length, content) of the files below `root`; empty trees give no rows, and empty files are passed by, as by every reader of Spark."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = re.escape(re.sub("^file:/+", "/", root).rstrip("/"))
     rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), f"^{base}/", "")
@@ -91,7 +92,12 @@ def write_jsonl(df: DataFrame, path: str, order: list[str]) -> None:
 def write_tsv(df: DataFrame, path: str) -> None:
     """Distinct rows, sorted, tab-separated."""
     d = df.distinct()
-    d.orderBy(*d.columns).write.mode("overwrite").option("sep", "\t").csv(path)
+    d.orderBy(*d.columns).write.mode("overwrite").options(**_TSV).csv(path)
+
+
+def tsv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Rows of a tab-separated table, blanks kept."""
+    return spark.read.schema(schema).options(**_TSV).csv(path)
 
 
 def replace_scope(df: DataFrame, path: str, scope: str) -> None:
