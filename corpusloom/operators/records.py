@@ -32,14 +32,61 @@ def numbered(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int
     return d.withColumn(name, F.col("_before") + F.col("_rn") - 1).drop("_part", "_before", "_rn"), before
 
 
+def in_ranges(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """`df` with `_part`, cut into ranges of the total order by key and `order`: a key of many rows lies in several ranges, in order."""
+    return checkpointed(df.repartitionByRange(*[F.col(k) for k in key], *order).withColumn("_part", F.spark_partition_id()))
+
+
+def _across(parts: DataFrame, key: list[str], made: Column, name: str) -> DataFrame:
+    """(_k*, _q, name): what `made` makes of the parts of a key before (or behind) each part, where it makes something.
+
+    Only keys that lie in several ranges have such rows, so there are at most as many as ranges.
+    """
+    w = parts.withColumn(name, made).where(F.col(name).isNotNull())
+    return w.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("_part").alias("_q"), name)
+
+
+def _met(df: DataFrame, across: DataFrame, key: list[str]) -> DataFrame:
+    same = F.col("_part") == F.col("_q")
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(across, same, "left").drop("_q", *[f"_k{i}" for i in range(len(key))])
+
+
+def numbered_within(ranges: DataFrame, key: list[str], order: list[Column], name: str) -> DataFrame:
+    """Rows of `in_ranges` numbered from 1 within their key; each range is numbered by itself and offset by those before it."""
+    counts = ranges.groupBy("_part", *key).agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    d = ranges.withColumn(name, F.row_number().over(Window.partitionBy("_part", *key).orderBy(*order)))
+    return _met(d, _across(counts, key, before, "_before"), key).withColumn(name, (F.col(name) + F.coalesce("_before", F.lit(0))).cast("int")).drop("_before")
+
+
 def carried(df: DataFrame, key: list[str], order: list[Column], value: str, span: str | None = None) -> DataFrame:
-    """`value` filled from the last row before that has one; with `span`, only for that many rows from its holder."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    """`value` filled from the last row before that has one; with `span`, only for that many rows from its holder.
+
+    A key is carried range by range, and what the ranges before it hold last comes in from their small table, so no key
+    is one task's.
+    """
+    d = numbered_within(in_ranges(df, key, order), key, order, "_n")
     holder = F.when(F.col(value).isNotNull(), F.struct("_n", F.col(value).alias("v"), (F.col(span) if span else F.lit(None).cast("int")).alias("s")))
-    d = d.withColumn("_h", F.last(holder, ignorenulls=True).over(w))
+    d = d.withColumn("_own", holder)
+    ends = d.groupBy("_part", *key).agg(F.max_by("_own", F.when(F.col("_own").isNotNull(), F.col("_n"))).alias("_end"))
+    earlier = F.last("_end", ignorenulls=True).over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("_h", F.last("_own", ignorenulls=True).over(Window.partitionBy("_part", *key).orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)))
+    d = _met(d, _across(ends, key, earlier, "_earlier"), key).withColumn("_h", F.coalesce("_h", "_earlier"))
     near = F.lit(True) if span is None else (F.col("_n") - F.col("_h._n") < F.coalesce(F.col("_h.s"), F.lit(1)))
-    return d.withColumn(f"{value}_carried", F.when(near, F.col("_h.v"))).drop("_n", "_h")
+    return d.withColumn(f"{value}_carried", F.when(near, F.col("_h.v"))).drop("_n", "_h", "_own", "_earlier", "_part")
+
+
+def filled_back(df: DataFrame, key: list[str], order: list[Column], value: str) -> DataFrame:
+    """`value` filled from the next row behind that has one, key by key in ranges as in `carried`."""
+    d = in_ranges(df, key, order)
+    d = d.withColumn("_n", F.row_number().over(Window.partitionBy("_part", *key).orderBy(*order)))
+    starts = d.groupBy("_part", *key).agg(F.min_by(value, F.when(F.col(value).isNotNull(), F.col("_n"))).alias("_start"))
+    later = F.first("_start", ignorenulls=True).over(Window.partitionBy(*key).orderBy("_part").rowsBetween(1, Window.unboundedFollowing))
+    own = F.first(value, ignorenulls=True).over(Window.partitionBy("_part", *key).orderBy("_n").rowsBetween(0, Window.unboundedFollowing))
+    d = _met(d.withColumn("_f", own), _across(starts, key, later, "_later"), key)
+    return d.withColumn(f"{value}_filled", F.coalesce("_f", "_later")).drop("_n", "_f", "_later", "_part")
 
 
 def collision_suffix(df: DataFrame, key: list[str], base: Column, suffix: Column, name: str) -> DataFrame:
@@ -62,8 +109,8 @@ def unique_slugs(df: DataFrame, base: str, order: list[str], sure: str) -> DataF
     Rows of a base are numbered; a number that makes a slug which exists as a base is skipped by shifting past all such
     numbers, so the result is settled without a driver loop.
     """
-    w = Window.partitionBy(base).orderBy(F.col(sure).desc(), *order)
-    d = df.withColumn("_n", F.row_number().over(w))
+    by = [F.col(sure).desc(), *[F.col(c) for c in order]]
+    d = numbered_within(in_ranges(df, [base], by), [base], by, "_n").drop("_part")
     taken = (
         df.select(F.regexp_extract(base, r"^(.*)-(\d+)$", 1).alias("_b"), F.regexp_extract(base, r"^(.*)-(\d+)$", 2).try_cast("int").alias("_k"))
         .where("_b <> '' and _k >= 2").distinct().groupBy("_b").agg(F.array_sort(F.collect_list("_k")).alias("_taken"))

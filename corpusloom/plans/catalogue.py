@@ -434,7 +434,8 @@ def win06_collision_keys(spark: SparkSession, d: str) -> DataFrame:
     """Every line of a colliding place gets its day in the key; lines per file beside it."""
     e = table(spark, d, "episodes").select("entry_no", "episode_id", "source_path", "source_anchor", "date")
     k = records.collision_suffix(e, ["source_path", "source_anchor"], F.col("episode_id"), F.col("date"), "key")
-    return k.select("entry_no", "key", F.count("*").over(Window.partitionBy("source_path")).alias("shared_by"))
+    n = e.groupBy(F.col("source_path").alias("_p")).agg(F.count("*").alias("shared_by"))
+    return k.join(n, k["source_path"].eqNullSafe(n["_p"])).select("entry_no", "key", "shared_by")
 
 
 @query("""
@@ -454,9 +455,8 @@ SELECT entry_no, first(author IGNORE NULLS) OVER (PARTITION BY source_path ORDER
 """)
 def win08_backfilled_author(spark: SparkSession, d: str) -> DataFrame:
     """Author filled back from later lines of the file."""
-    w = Window.partitionBy("source_path").orderBy("entry_no").rowsBetween(0, Window.unboundedFollowing)
-    e = table(spark, d, "episodes").where("source_path is not null")
-    return e.select("entry_no", F.first("author", ignorenulls=True).over(w).alias("author_filled"), F.col("author").isNull().alias("inherited"))
+    e = table(spark, d, "episodes").where("source_path is not null").select("source_path", "entry_no", "author")
+    return records.filled_back(e, ["source_path"], [F.col("entry_no")], "author").select("entry_no", "author_filled", F.col("author").isNull().alias("inherited"))
 
 
 @query("""

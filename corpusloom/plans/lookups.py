@@ -167,11 +167,12 @@ def win10_slug_ladder(spark: SparkSession, d: str) -> DataFrame:
     """Slugs of lines: stem and anchor; if that repeats with the directory, then the day, then a number."""
     p = F.col("source_path")
     stem = F.lower(F.regexp_replace(urls.basename(p), r"\.[a-z]+$", ""))
-    n = lambda c: F.count("*").over(Window.partitionBy(c))
     e = table(spark, d, "episodes").where("source_path is not null").select("entry_no", "source_path", "date", F.concat(stem, F.coalesce(F.concat(F.lit("-"), F.lower("source_anchor")), F.lit(""))).alias("s1"))
-    e = e.withColumn("s2", F.when(n("s1") > 1, F.concat(F.regexp_extract(p, "([^/]*)/[^/]*$", 1), F.lit("-"), F.col("s1"))).otherwise(F.col("s1")))
-    e = e.withColumn("s3", F.when(n("s2") > 1, F.concat(F.col("s2"), F.lit("-"), F.coalesce("date", F.lit("")))).otherwise(F.col("s2")))
-    e = e.withColumn("_n", F.row_number().over(Window.partitionBy("s3").orderBy("entry_no")))
+    several = lambda df, c: df.join(df.groupBy(c).agg(F.count("*").alias("_c")).where("_c > 1"), c, "left")
+    e = several(e, "s1").withColumn("s2", F.when(F.col("_c") > 1, F.concat(F.regexp_extract(p, "([^/]*)/[^/]*$", 1), F.lit("-"), F.col("s1"))).otherwise(F.col("s1"))).drop("_c")
+    e = several(e, "s2").withColumn("s3", F.when(F.col("_c") > 1, F.concat(F.col("s2"), F.lit("-"), F.coalesce("date", F.lit("")))).otherwise(F.col("s2"))).drop("_c")
+    by = [F.col("entry_no")]
+    e = records.numbered_within(records.in_ranges(e, ["s3"], by), ["s3"], by, "_n")
     return e.select("entry_no", F.when(F.col("_n") == 1, F.col("s3")).otherwise(F.concat(F.col("s3"), F.lit("-"), F.col("_n"))).alias("slug"))
 
 
