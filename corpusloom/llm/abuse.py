@@ -258,7 +258,7 @@ class Lexicon:
         if h.term.isascii():
             return s.whole_word(h.start, h.end)
         form = s.text[h.start : h.end]
-        return len(form) > 3 or h.part not in lex.LEADING or not re.fullmatch("[ぁ-ゖー]+", form) or s.short_kana(h.start, h.end)
+        return len(form) > 3 or h.part not in lex.ALONE or not re.fullmatch("[ぁ-ゖー]+", form) or s.short_kana(h.start, h.end)
 
     @staticmethod
     def _weighed(s: Folded, h: Hit) -> Hit:
@@ -297,12 +297,14 @@ class Lexicon:
                     if reach and any(h.start - x.end <= reach and x.start - h.end <= reach for x in near):
                         held = parts.setdefault(h.part, {})
                         held[h.term] = max(held.get(h.term, 0.0), h.weight)
+                if "named" in parts:
+                    parts.pop("group", None)
                 if all(h.part == "violence" for h in near):
                     parts = {p: held for p, held in parts.items() if p not in lex.TURNED}
                 score = sum(sum(sorted(held.values(), reverse=True)[: lex.PARTS[p][2]]) for p, held in parts.items())
                 if kind == "abuse" and one.part == "command" and one.start == 0 and one.end == len(s.text):
                     score += one.weight
-                if kind == "hate" and "group" not in parts and not any(h.term in _INHERENT for h in near):
+                if kind == "hate" and not {"group", "named"} & set(parts) and not any(h.term in _INHERENT for h in near):
                     score = min(score, NO_GROUP)
                 best = max(best, score)
             out.append(round(best, 2))

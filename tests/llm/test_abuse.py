@@ -74,6 +74,127 @@ MEANT_OTHERWISE = [
     "The killer whale dives into the sea.",
 ]
 
+# a second set, of which the lexicon found half before it was widened
+WIDER = [
+    "You are a disgusting piece of garbage.",
+    "I hope you get cancer and die.",
+    "Women are inferior to men and belong in the kitchen.",
+    "All muslims are terrorists.",
+    "Die, you worthless worm.",
+    "Nobody would miss you if you died.",
+    "I'll beat the crap out of you.",
+    "He thrust into her and she moaned loudly.",
+    "She took off her bra and he sucked her nipples.",
+    "You're nothing but a liar and a fraud.",
+    "Get the hell out of here, you freak.",
+    "Gays are disgusting and should be killed.",
+    "Black people are subhuman.",
+    "I will shoot you in the face.",
+    "what a retard",
+    "Go back to your country, you filthy immigrant.",
+    "He came all over her breasts.",
+    "They had sex on the kitchen table, naked and sweating.",
+    "stupid cow",
+    "I'm gonna slit your throat.",
+    "お前は馬鹿か。",
+    "死ねよクズ。",
+    "気持ち悪いんだよ、デブ。",
+    "ぶん殴るぞ。",
+    "あの国の連中は全員犯罪者だ。",
+    "障害者は社会のゴミだ。",
+    "女は黙って家にいろ。",
+    "彼は彼女の胸を揉み、乳首を吸った。",
+    "挿入して激しく腰を振った。",
+    "お前の母親は売春婦だ。",
+    "クソ野郎、二度と来るな。",
+    "殺してやるから待ってろ。",
+    "あいつは本当に無能で役立たずだ。",
+    "ゴミ作者は筆を折れ。",
+    "朝鮮人は国へ帰れ。",
+    "移民は犯罪者ばかりだ、追い出せ。",
+    "頭悪すぎだろお前。",
+    "消え失せろ、ゴミが。",
+    "彼女は全裸で彼のペニスをしゃぶった。",
+    "キモすぎて吐き気がする、死んでくれ。",
+]
+WIDER_NOT = [
+    "The actor died at the age of ninety.",
+    "He was beaten by a stronger team.",
+    "She kissed him on the cheek.",
+    "I hate rainy days.",
+    "This chapter was stupid but fun.",
+    "The dog is a good boy, you know.",
+    "Don't be a stranger!",
+    "I could kill for a coffee.",
+    "You killed it on stage last night!",
+    "My cat is such a silly thing.",
+    "The doctor said the tumor was inferior to the liver.",
+    "Breast cancer screening saves lives.",
+    "The novel deals with rape and its aftermath.",
+    "お前の作品は素晴らしい。",
+    "彼は死んだ。",
+    "馬鹿な話だと笑った。",
+    "猫がゴミ箱をあさった。",
+    "彼女を抱き合って泣いた。",
+    "お尻が痛い。",
+    "温泉で裸になって湯につかった。",
+    "国へ帰れる日が来た。",
+    "消えろと念じた。",
+    "敵を殺した英雄の物語。",
+    "外国人観光客が増えた。",
+    "この薬は害虫を駆除します。",
+    "あなたの顔が見たい。",
+    "泥棒は生まれつきではない、と彼は言った。",
+    "女性の権利を守る。",
+    "腰を痛めて寝室で休んだ。",
+    "夫婦は抱き合って再会を喜んだ。",
+]
+# a third set, written after that and never fitted to
+BLIND = [
+    "Your face makes me want to vomit.",
+    "You are dumber than a rock, you idiot.",
+    "Shut your filthy mouth, bastard.",
+    "I'll find out where you live and hurt you.",
+    "People like you deserve to be beaten.",
+    "Jews control everything and are parasites.",
+    "Deport every one of those dirty foreigners.",
+    "Lesbians are perverts and not welcome here.",
+    "She spread her legs and he thrust his dick into her.",
+    "He groped her naked breasts.",
+    "You are a pathetic excuse for a writer.",
+    "Burn in hell, scum.",
+    "おまえの小説はクソだ、やめちまえ。",
+    "バカ作者、さっさと死ね。",
+    "お前の顔を殴ってやる。",
+    "外国人は犯罪者だから追い出せ。",
+    "黒人は劣等人種だ。",
+    "彼女の裸の胸を舐め、激しく突き上げた。",
+    "二人は裸で何度も交わり、絶頂に達した。",
+    "てめえみたいな無能はいらねえ。",
+]
+BLIND_NOT = [
+    "He hit the ball into the net.",
+    "The women welcomed the refugees with soup.",
+    "The writer thanked you for your letter.",
+    "It was a stupid mistake on my part.",
+    "She burned the letter in the stove.",
+    "The thieves were caught by the guard.",
+    "The bastard sword hung on the wall.",
+    "Your breakfast is on the table.",
+    "The sex of the kitten is unknown.",
+    "A naked flame lit the room.",
+    "バカンスの予定を教えて。",
+    "彼は自分を馬鹿だと思った。",
+    "敵の首領を殴り倒した。",
+    "外国人の友人と食事をした。",
+    "黒人霊歌を歌った。",
+    "裸の枝に雪が積もる。",
+    "彼女は胸を張って歩いた。",
+    "お前の好きなクッキーだよ。",
+    "死ぬほど笑った。",
+    "くだらない話に付き合ってくれてありがとう。",
+]
+
 
 def test_cases():
     lex = A.lexicon()
@@ -113,6 +234,13 @@ def test_plain_sentences_of_other_hands():
     assert found >= 0.9 * len(PLAIN) and len(wrong) <= 0.1 * len(MEANT_OTHERWISE)
 
 
+def test_wider_and_blind_sentences():
+    lex = A.lexicon()
+    hits = lambda texts: sum(max(lex.document(t)) >= A.THRESHOLD for t in texts)
+    assert hits(WIDER) >= 0.9 * len(WIDER) and hits(WIDER_NOT) == 0
+    assert hits(BLIND) >= 0.8 * len(BLIND) and hits(BLIND_NOT) <= 1
+
+
 def test_one_harmless_word_hides_nothing():
     lex = A.lexicon()
     assert max(lex.document("ゴミの日に言うけど、お前は本物のクズだ。")) >= 1 and max(lex.document("Beside the leech jar: you worthless moron.")) >= 1
