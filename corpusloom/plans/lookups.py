@@ -233,9 +233,15 @@ def set01_union_of_tables(spark: SparkSession, d: str) -> DataFrame:
 SELECT entry_no, md5(coalesce(title, '')) AS md5, sha256(coalesce(title, '')) AS sha256, substr(strftime(to_timestamp(entry_no * 100000), '%Y-%m-%d'), 1, 10) AS day FROM episodes
 """)
 def f35_hashes_and_days(spark: SparkSession, d: str) -> DataFrame:
-    """Hashes of titles and the UTC day of a count of seconds."""
+    """Hashes of titles and the UTC day of a count of seconds, its first ten characters, for any count."""
     t = F.coalesce("title", F.lit(""))
-    return table(spark, d, "episodes").select("entry_no", F.md5(t).alias("md5"), F.sha2(t, 256).alias("sha256"), F.date_format(F.timestamp_seconds(F.col("entry_no") * 100000), "yyyy-MM-dd").alias("day"))
+    # 15,778,476 counts of 100,000 s are 50,000 years of the calendar: whole turns add to the year, the rest is a date; no timestamp, whose range ends at 92,233,720 counts
+    turns = F.expr("entry_no div 15778476 - if(entry_no % 15778476 < 0, 1, 0)")
+    date = F.date_from_unix_date(F.expr("pmod(entry_no, 15778476) * 125 div 108").cast("int"))
+    year = F.year(date) + turns * 50_000
+    written = F.when(year.between(0, 9999), F.lpad(year.cast("string"), 4, "0")).otherwise(year.cast("string"))
+    day = F.substring(F.concat(written, F.substring(date.cast("string"), -6, 6)), 1, 10)
+    return table(spark, d, "episodes").select("entry_no", F.md5(t).alias("md5"), F.sha2(t, 256).alias("sha256"), day.alias("day"))
 
 
 @query("""
